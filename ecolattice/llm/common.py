@@ -46,7 +46,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def partitions_for(df: DataFrame, mb: float) -> int:
     """Shuffle partitions for a frame, by the planner's size estimate: one for every `mb` MB, no fewer than the session's."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(100_000, int(size / (mb * 1e6)) + 1))
