@@ -27,6 +27,8 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 #: Bytes of text that one chunk of documents holds (a longer document is cut into overlapping segments).
 CHUNK = 4_000_000
+#: zstd level of what is shuffled.
+LEVEL = 3
 _POSITION = 24
 
 
@@ -94,38 +96,65 @@ def runs(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int
 
 
 class Blob:
-    """Columns of runs as compressed bytes."""
+    """Runs as compressed bytes: a table of their documents, then one column after the other, then the contents.
 
-    COLUMNS = (("h", np.uint64), ("doc", np.int64), ("key", np.int64), ("start", np.int64), ("count", np.int32), ("anchor", np.int32), ("size", np.int32))
+    Runs stay in text order: places are stored as differences, and what a
+    document repeats lies close together.
+    """
 
     @staticmethod
-    def write(columns: list[np.ndarray], content: np.ndarray) -> bytes:
+    def write(ids, tags, doc, start, count, anchor, size, h, content) -> bytes:
         import zstandard
 
-        head = np.array([len(columns[0])], np.int64).tobytes()
-        return zstandard.ZstdCompressor(level=1).compress(head + b"".join(c.astype(t).tobytes() for c, (_, t) in zip(columns, Blob.COLUMNS)) + content.tobytes())
+        fresh = np.concatenate([[True], doc[1:] != doc[:-1]])
+        docs = doc[fresh]
+        step = np.where(fresh, start, np.diff(start, prepend=0))
+        head = np.array([len(doc), len(docs), h is not None], np.int64)
+        columns = [np.diff(ids[docs], prepend=0).astype(np.int64), tags[docs].astype(np.int32), fresh.astype(np.uint8), step.astype(np.int64), count.astype(np.int32), anchor.astype(np.int32), size.astype(np.int32)]
+        if h is not None:
+            columns.append(h.astype(np.uint32))
+        # Bytes of equal weight lie together, so the high ones, mostly zero, cost nothing.
+        planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+        return zstandard.ZstdCompressor(level=LEVEL).compress(head.tobytes() + b"".join(planes) + content.tobytes())
 
     @staticmethod
     def read(blobs: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """The columns of several blobs, and their contents, each concatenated."""
+        """doc, tag, start, count, anchor, size (and h, if kept) of all runs of several blobs, and their contents."""
         import zstandard
 
-        parts: dict[str, list] = {n: [] for n, _ in Blob.COLUMNS}
+        parts: dict[str, list] = {}
         contents, tool = [], zstandard.ZstdDecompressor()
         for blob in blobs:
-            raw = tool.decompress(blob)
-            n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
-            for name, t in Blob.COLUMNS:
-                parts[name].append(np.frombuffer(raw, t, n, at))
-                at += n * np.dtype(t).itemsize
-            contents.append(np.frombuffer(raw, np.uint8, len(raw) - at, at))
-        return {n: np.concatenate(p) for n, p in parts.items()}, np.concatenate(contents)
+            raw = np.frombuffer(tool.decompress(blob), np.uint8)
+            n, docs, hashed = raw[:24].view(np.int64).tolist()
+            at = 24
+
+            def take(m, kind):
+                nonlocal at
+                width = np.dtype(kind).itemsize
+                plane = raw[at : at + m * width].reshape(width, m)
+                at += m * width
+                return np.ascontiguousarray(plane.T).reshape(-1).view(kind)
+
+            ids, tags, fresh = np.cumsum(take(docs, np.int64)), take(docs, np.int32), take(n, np.uint8).astype(bool)
+            which = np.cumsum(fresh) - 1
+            step = take(n, np.int64)
+            total = np.cumsum(step)
+            first = np.flatnonzero(fresh)
+            start = total - np.repeat(total[first] - step[first], np.diff(np.append(first, n)))
+            own = {"doc": ids[which], "tag": tags[which], "start": start, "count": take(n, np.int32), "anchor": take(n, np.int32), "size": take(n, np.int32)}
+            if hashed:
+                own["h"] = take(n, np.uint32)
+            for k, v in own.items():
+                parts.setdefault(k, []).append(v)
+            contents.append(raw[at:])
+        return {k: np.concatenate(v) for k, v in parts.items()}, np.concatenate(contents)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and key, which tells rows apart unless they agree in both."""
+    """doc_id, text and tag, a hash of the text that tells apart rows which repeat a doc_id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("tag"))
 
 
 def dealt(docs: DataFrame, symbols, window: int, gram: int) -> DataFrame:
@@ -138,22 +167,21 @@ def dealt(docs: DataFrame, symbols, window: int, gram: int) -> DataFrame:
     small_batches(docs.sparkSession)
     buckets = partitions_for(docs, 4)
 
-    def emit(ids, keys, bases, texts):
+    def emit(ids, tags, bases, texts):
         codes, starts, lengths, begins, ends, buffer = symbols(texts)
         begin, count, anchor, h = runs(codes, starts, lengths, window, gram)
         if not len(begin):
             return None
-        doc = np.searchsorted(starts, begin, side="right") - 1
         # Documents without symbols share their start with the next one, which searchsorted passes over rightly.
+        doc = np.searchsorted(starts, begin, side="right") - 1
         bucket = (mix(h + _BASE) % _U(buckets)).astype(np.int64)
-        order = np.lexsort((h, bucket))
+        order = np.argsort(bucket, kind="stable")
         begin, count, anchor, h, doc, bucket = (a[order] for a in (begin, count, anchor, h, doc, bucket))
         low, high = begins[begin], ends[begin + count + window - 2]
-        size = high - low
-        columns = [h, ids[doc], keys[doc], begin - starts[doc] + bases[doc], count, anchor, size]
+        size, start = high - low, begin - starts[doc] + bases[doc]
         cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         bounds = [*cut.tolist(), len(bucket)]
-        blobs = [Blob.write([c[a:b] for c in columns], buffer[concat_ranges(low[a:b], size[a:b])]) for a, b in zip(bounds, bounds[1:])]
+        blobs = [Blob.write(ids, tags, doc[a:b], start[a:b], count[a:b], anchor[a:b], size[a:b], h[a:b] if symbols.keep_hash else None, buffer[concat_ranges(low[a:b], size[a:b])]) for a, b in zip(bounds, bounds[1:])]
         return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -161,16 +189,16 @@ def dealt(docs: DataFrame, symbols, window: int, gram: int) -> DataFrame:
         size = 0
 
         def out():
-            return emit(np.array([w[0] for w in waiting], np.int64), np.array([w[1] for w in waiting], np.int64), np.array([w[2] for w in waiting], np.int64), [w[3] for w in waiting])
+            return emit(np.array([w[0] for w in waiting], np.int64), np.array([w[1] for w in waiting], np.int32), np.array([w[2] for w in waiting], np.int64), [w[3] for w in waiting])
 
         for b in batches:
             texts = b.column(1)
-            for k, (i, key) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+            for k, (i, tag) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
                 if i is None:
                     continue
                 data = texts[k].as_py().encode("utf-8", "surrogatepass")
                 for base, part in symbols.segments(data, window, CHUNK):
-                    waiting.append((i, key, base, part))
+                    waiting.append((i, tag, base, part))
                     size += len(part)
                     if size >= CHUNK:
                         if (made := out()) is not None:
@@ -179,7 +207,7 @@ def dealt(docs: DataFrame, symbols, window: int, gram: int) -> DataFrame:
         if waiting and (made := out()) is not None:
             yield made
 
-    return docs.select("doc_id", "text", "key").mapInArrow(run, "bucket long, blob binary")
+    return docs.select("doc_id", "text", "tag").mapInArrow(run, "bucket long, blob binary")
 
 
 def shared_by_documents(group: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -209,15 +237,19 @@ def covered(flags: np.ndarray, count: np.ndarray, start: np.ndarray, window: int
     return run[a], place[a], place[b] + window
 
 
+#: A span is one number: its begin times 2**20, plus its length (of one run, so under 2**20).
+_SPAN = 20
+
+
 def spans(blobs: DataFrame, judge) -> DataFrame:
-    """(key, begin, end) of covered stretches, as judge(columns, contents) finds them bucket by bucket."""
+    """(doc_id, tag, span) of covered stretches, as judge(columns, contents) finds them bucket by bucket: (runs, begins, ends)."""
 
     def run(table: pa.Table) -> pa.Table:
         columns, content = Blob.read(table.column("blob").to_pylist())
-        key, begin, end = judge(columns, content)
-        return pa.table({"key": pa.array(key, pa.int64()), "begin": pa.array(begin, pa.int64()), "end": pa.array(end, pa.int64())})
+        which, begin, end = judge(columns, content)
+        return pa.table({"doc_id": pa.array(columns["doc"][which], pa.int64()), "tag": pa.array(columns["tag"][which], pa.int32()), "span": pa.array((begin << _SPAN) + end - begin, pa.int64())})
 
-    return blobs.groupBy("bucket").applyInArrow(run, "key long, begin long, end long")
+    return blobs.groupBy("bucket").applyInArrow(run, "doc_id long, tag int, span long")
 
 
 def with_spans(docs: DataFrame, found: DataFrame, cut, schema: str) -> DataFrame:
@@ -226,31 +258,30 @@ def with_spans(docs: DataFrame, found: DataFrame, cut, schema: str) -> DataFrame
     A document's spans are at most as many as its own windows, so its group is bounded by its length.
     """
     small_batches(docs.sparkSession)
+    names = [f.strip().split(" ")[0] for f in _fields(schema)]
 
     def shrink(batches):
         import zstandard
 
         for b in batches:
-            tool = zstandard.ZstdCompressor(level=1)
+            tool = zstandard.ZstdCompressor(level=LEVEL)
             z = [tool.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), b.column(2)], ["doc_id", "z", "key"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), b.column(2)], ["doc_id", "z", "tag"])
 
     def apply(batches):
         import zstandard
 
-        names = [f.strip().split(" ")[0] for f in _fields(schema)]
         for b in batches:
             tool, rows = zstandard.ZstdDecompressor(), []
             for i, z, s in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                s = s.as_py() or b""
-                pairs = np.frombuffer(s, ">i8").reshape(-1, 2) if s else np.zeros((0, 2), np.int64)
-                rows.append(cut(i, tool.decompress(z.as_py()), merged(pairs)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), cut.types)], names) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in cut.types], names)
-
-    small = docs.select("doc_id", "text", "key").mapInArrow(shrink, "doc_id long, z binary, key long")
-    pair = F.concat(F.unhex(F.lpad(F.hex("begin"), 16, "0")), F.unhex(F.lpad(F.hex("end"), 16, "0")))
-    lists = found.groupBy(F.col("key").alias("k")).agg(F.array_join(F.collect_list(F.hex(pair)), "").alias("s")).select("k", F.unhex("s").alias("s"))
-    return small.join(lists, small.key == lists.k, "left").select("doc_id", "z", "s").mapInArrow(apply, schema)
+                packed = np.zeros(0, np.int64) if not s.is_valid else s.values.to_numpy(zero_copy_only=False)
+                begin = packed >> _SPAN
+                rows.append(cut(i, tool.decompress(z.as_py()), merged(np.column_stack([begin, begin + (packed & ((1 << _SPAN) - 1))]))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), cut.types)] if rows else [pa.array([], t) for t in cut.types], names)
+
+    small = docs.select("doc_id", "text", "tag").mapInArrow(shrink, "doc_id long, z binary, tag int")
+    lists = found.groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans"))
+    return small.join(lists, ["doc_id", "tag"], "left").select("doc_id", "z", "spans").mapInArrow(apply, schema)
 
 
 def _fields(schema: str) -> list[str]:

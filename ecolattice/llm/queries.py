@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
+from . import bpe, language_id, nn_descent, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 from .common import read_table
 
 
@@ -54,8 +54,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_suffix_dedup, op4_quality_rules, op5_url_filter, op6_language_id, op7_substring_dedup, op8_bpe, op9_simhash)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_quality_classifier, op3_suffix_dedup, op4_quality_rules, op5_url_filter, op6_language_id, op7_substring_dedup, op8_bpe, op9_simhash, op10_nn_descent)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -51,7 +51,9 @@ def word_codes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class WordSymbols:
-    """Words of texts as symbols."""
+    """Words of texts as symbols. A part of the anchors' hashes is sent along, to find seeds before words are looked at."""
+
+    keep_hash = True
 
     def __call__(self, texts: list[bytes]):
         buffer = np.frombuffer(b"\n".join(texts), np.uint8)
@@ -90,13 +92,15 @@ def judge_words(window: int = WINDOW, gram: int = GRAM):
         text[concat_ranges(own, size[use])] = content[concat_ranges(offsets[use], size[use])]
         codes, begin, _ = word_codes(text)
         first = np.searchsorted(begin, own)
-        h, doc = columns["h"][use], columns["doc"][use]
+        doc = columns["doc"][use]
         anchor, count = columns["anchor"][use].astype(np.int64), columns["count"][use].astype(np.int64)
         spare = window - gram
         left = np.minimum(anchor, spare)
         right = np.minimum(count - 1 + window - gram - anchor, spare)
         # Extension: what k words to the left (right) of the anchor read, as one code per k.
-        seed = mix(h + _BASE)
+        seed = np.zeros(len(use), np.uint64)
+        for k in range(gram):
+            seed = mix(seed * _BASE + codes[first + anchor + k])
         lefts, rights = [seed], [seed]
         for k in range(1, spare + 1):
             a = codes[np.maximum(first + anchor - k, 0)]
@@ -123,7 +127,7 @@ def judge_words(window: int = WINDOW, gram: int = GRAM):
             earlier[order] = np.repeat(least, np.diff(np.append(cut, len(rows)))) < doc[rows][order]
             flags[(at[rows] + anchor[rows] - k)[earlier]] = True
         run, a, b = covered(flags, count, columns["start"][use], window)
-        return columns["key"][use][run], a, b
+        return use[run], a, b
 
     return judge
 

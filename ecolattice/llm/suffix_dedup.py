@@ -32,7 +32,9 @@ BLOCK, SPOOL = 1 << 20, 32 << 20
 
 
 class ByteSymbols:
-    """Bytes of texts as symbols."""
+    """Bytes of texts as symbols. Anchors' hashes are not sent, as they follow from the contents."""
+
+    keep_hash = False
 
     def __call__(self, texts: list[bytes]):
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -69,22 +71,25 @@ class SequentialFile:
 class CollectionBWT:
     """BWT and LCP of a collection of strings, grown by one symbol of each string in every round.
 
-    After round j the files describe all suffixes of up to j symbols, in
-    order; the suffixes of no symbols, one for each string, come first. The
-    symbol 0 marks a string's newest suffix. An entry with symbol c stands for
-    a suffix s; the suffix cs has the rank: empty suffixes, then entries with a
+    Every string ends in an end mark. After round j the files describe all
+    suffixes of up to j symbols before the mark, in order; the bare marks come
+    first. Marks may be ordered by what follows them in the text, with the
+    common prefixes of that (`tails`), which then counts as if it stood there.
+    The symbol 0 marks a string's newest suffix. An entry with symbol c stands
+    for a suffix s; the suffix cs has the rank: marks, then entries with a
     smaller symbol, then earlier entries with c. LCP(cs, its predecessor that
     begins with c) is 1 plus the least LCP between the two entries.
     """
 
-    def __init__(self, flat: np.ndarray, offsets: np.ndarray):
+    def __init__(self, flat: np.ndarray, offsets: np.ndarray, tails: tuple[np.ndarray, np.ndarray] | None = None):
         self.flat, self.ends, self.lengths = flat, offsets[1:], np.diff(offsets)
         self.d = len(self.lengths)
         self.bwt, self.lcp = SequentialFile(), SequentialFile()
+        self.marks, common = tails if tails is not None else (np.arange(self.d), np.zeros(self.d, np.uint8))
         for k in range(0, self.d, BLOCK):
             self.bwt.write(np.zeros(min(BLOCK, self.d - k), np.uint8))
-            self.lcp.write(np.zeros(min(BLOCK, self.d - k), np.uint8))
-        self.place = np.arange(self.d)
+            self.lcp.write(common[k : k + BLOCK])
+        self.place = self.marks.copy()
         for j in range(int(self.lengths.max(initial=0))):
             self._round(j)
 
@@ -177,20 +182,18 @@ class CollectionBWT:
         self.bwt.close(), self.lcp.close()
         self.bwt, self.lcp = bwt, lcp
 
-    def classes(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """For the suffixes of at least `least` symbols, string by string from its first symbol on: class, and how many each string has.
+    def classes(self, least: int, fewest: np.ndarray) -> np.ndarray:
+        """Classes of each string's suffixes, longest first, down to the one of fewest[string] symbols before the mark.
 
-        Suffixes that agree in their first `least` symbols have one class. Found by
-        walking the ranks: the suffix of j + 1 symbols follows from that of j.
+        Neighbours whose LCP is at least `least` have one class. Found by walking
+        the ranks: the suffix of j + 1 symbols follows from that of j.
         """
         total = self.bwt.n
-        classes = np.empty(total, np.int64)
-        step = np.empty(total, np.int64)
-        self.bwt.rewind(), self.lcp.rewind()
-        counts = np.bincount(self.bwt.read(total), minlength=256)
-        base = np.concatenate([[0], np.cumsum(counts[1:])[:-1]]) + self.d
-        base = np.concatenate([[0], base])
+        classes, step = np.empty(total, np.int64), np.empty(total, np.int64)
         self.bwt.rewind()
+        counts = np.bincount(self.bwt.read(total), minlength=256)
+        base = np.concatenate([[0, 0], np.cumsum(counts[1:])[:-1]]) + self.d
+        self.bwt.rewind(), self.lcp.rewind()
         seen, name = np.zeros(256, np.int64), 0
         for k in range(0, total, BLOCK):
             b, low = self.bwt.read(BLOCK), self.lcp.read(BLOCK)
@@ -203,18 +206,16 @@ class CollectionBWT:
             names = name + np.cumsum(low < least)
             classes[k : k + len(b)] = names
             name = int(names[-1])
-        many = np.maximum(self.lengths - least + 1, 0)
+        many = self.lengths - fewest + 1
         ends = np.cumsum(many)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-        at = np.arange(self.d)
+        at = self.marks.copy()
         for j in range(int(self.lengths.max(initial=0)) + 1):
-            live = self.lengths >= j
-            if j >= least:
-                # The suffix of j symbols begins at length - j.
-                out[(ends - many)[live] + self.lengths[live] - j] = classes[at[live]]
+            use = (self.lengths >= j) & (fewest <= j)
+            out[(ends - many)[use] + self.lengths[use] - j] = classes[at[use]]
             on = self.lengths > j
             at[on] = step[at[on]]
-        return out, many
+        return out
 
     def close(self) -> None:
         self.bwt.close(), self.lcp.close()
@@ -248,20 +249,45 @@ def candidates(columns: dict[str, np.ndarray], content: np.ndarray, offsets: np.
     two documents that share one also share the anchor with that much to its
     left or to its right.
     """
-    alive = np.flatnonzero(shared_by_documents(columns["h"], columns["doc"]))
     side = (window - gram + 1) // 2
-    h, doc, anchor = columns["h"][alive], columns["doc"][alive], columns["anchor"][alive].astype(np.int64)
-    begin, size = offsets[alive], columns["size"][alive].astype(np.int64)
+    doc, anchor = columns["doc"], columns["anchor"].astype(np.int64)
+    size = columns["size"].astype(np.int64)
+    alive = np.flatnonzero(shared_by_documents(_part_hash(content, offsets[:-1] + anchor, gram), doc))
+    doc, anchor, size, begin = doc[alive], anchor[alive], size[alive], offsets[alive]
     use = np.zeros(len(alive), bool)
     for has, low in ((anchor >= side, anchor - side), (size - anchor - gram >= side, anchor)):
         some = np.flatnonzero(has)
-        key = mix(h[some] + mix(_part_hash(content, begin[some] + low[some], side + gram)))
-        use[some] |= shared_by_documents(key, doc[some])
+        use[some] |= shared_by_documents(mix(_part_hash(content, begin[some] + low[some], side + gram)), doc[some])
     return alive[use]
 
 
+def sorted_tails(content: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each piece of content, LCP of each rank with the one before); pieces have under 255 bytes, shorter ones come first."""
+    width = int(length.max(initial=0))
+    padded = np.zeros((len(begin), width + 1), np.uint8)
+    for k in range(width):
+        some = length > k
+        padded[some, k] = content[begin[some] + k]
+    padded[:, width] = length + 1
+    order = np.argsort(padded.view(f"S{width + 1}").ravel(), kind="stable")
+    rank = np.empty(len(begin), np.int64)
+    rank[order] = np.arange(len(begin))
+    common = np.zeros(len(begin), np.uint8)
+    if len(begin) > 1:
+        one, two = padded[order[1:], :width], padded[order[:-1], :width]
+        differ = one != two
+        first = np.where(differ.any(1), differ.argmax(1), width)
+        common[1:] = np.minimum(first, np.minimum(length[order[1:]], length[order[:-1]]))
+    return rank, common
+
+
 def judge_bytes(window: int = WINDOW, gram: int = GRAM):
-    """The judge of a bucket's runs: stretches of windows that start in a smaller document too."""
+    """The judge of a bucket's runs: stretches of windows that start in a smaller document too.
+
+    Equal windows have their anchor at the same place. So a run's string is
+    what precedes its anchor; its end mark is ordered by the bytes from the
+    anchor on, and what the transform classifies are whole windows.
+    """
 
     def judge(columns: dict[str, np.ndarray], content: np.ndarray):
         size = columns["size"].astype(np.int64)
@@ -270,26 +296,28 @@ def judge_bytes(window: int = WINDOW, gram: int = GRAM):
         empty = np.zeros(0, np.int64)
         if not len(use):
             return empty, empty, empty
+        # Equal runs are one string, owned by the smallest of their documents.
         number: dict[bytes, int] = {}
         raw = content.tobytes()
         string = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(offsets[use].tolist(), offsets[use + 1].tolist())), np.int64, len(use))
-        del raw
-        doc = columns["doc"][use]
-        owner = np.full(len(number), np.iinfo(np.int64).max)
+        del raw, number
+        doc, count = columns["doc"][use], columns["count"][use].astype(np.int64)
+        one = np.unique(string, return_index=True)[1]
+        owner = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(owner, string, doc)
-        flat = np.frombuffer(b"".join(number), np.uint8)
-        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, number), np.int64, len(number)))])
-        built = CollectionBWT(flat, bounds)
-        cls, many = built.classes(window)
+        anchor, many, begin = columns["anchor"][use][one].astype(np.int64), count[one], offsets[use][one]
+        bounds = np.concatenate([[0], np.cumsum(anchor)])
+        tails = sorted_tails(content, begin + anchor, np.minimum(size[use][one] - anchor, window))
+        built = CollectionBWT(content[concat_ranges(begin, anchor)], bounds, tails)
+        cls = built.classes(window, anchor - many + 1)
         built.close()
         first = np.full(int(cls.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, cls, np.repeat(owner, many))
         first = first[cls]
         at = np.cumsum(many) - many
-        count = columns["count"][use].astype(np.int64)
         flags = first[concat_ranges(at[string], count)] < np.repeat(doc, count)
-        run, begin, end = covered(flags, count, columns["start"][use], window)
-        return columns["key"][use][run], begin, end
+        run, low, high = covered(flags, count, columns["start"][use], window)
+        return use[run], low, high
 
     return judge
 
