@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import concat_ranges, partitions_for, small_batches
+from .common import concat_ranges, partitions_for, release, saved, small_batches
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 #: Bytes of text that one chunk of documents holds (a longer document is cut into overlapping segments).
-CHUNK = 4_000_000
+CHUNK = 2_500_000
 #: zstd level of what is shuffled.
 LEVEL = 3
 _POSITION = 24
@@ -255,8 +255,12 @@ def spans(blobs: DataFrame, judge) -> DataFrame:
 def with_spans(docs: DataFrame, found: DataFrame, cut, schema: str) -> DataFrame:
     """What cut(doc_id, text's bytes, merged spans) gives for every keyed document; texts are shuffled compressed.
 
-    A document's spans are at most as many as its own windows, so its group is bounded by its length.
+    A document's spans are at most as many as its own windows, so its group is
+    bounded by its length. Spans are checkpointed first: the runs' shuffle,
+    which is the largest, can go before the texts are shuffled.
     """
+    found = saved(found)
+    release(docs.sparkSession)
     small_batches(docs.sparkSession)
     names = [f.strip().split(" ")[0] for f in _fields(schema)]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
@@ -30,12 +31,23 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
         spark.conf.set(key, rows)
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's spark.checkpoint.dir if set, otherwise (tests) a folder of our own."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir if set, otherwise (tests) a folder of our own that becomes the checkpoint folder."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    own = sc._jsc.sc().getCheckpointDir()
+    if own.isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        own = sc._jsc.sc().getCheckpointDir()
+    return own.get()
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Make checkpoint() usable."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -44,6 +56,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner see, and delete, shuffles that nothing needs any more (after a checkpoint)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions_for(df: DataFrame, mb: float) -> int:
     """Shuffle partitions for a frame, by the planner's size estimate: one for every `mb` MB, no fewer than the session's."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -15,15 +15,13 @@ vectors in double precision.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import release, saved
 
 #: Neighbours a node keeps, reverse neighbours it hears, and introductions of each neighbour in a round.
 NEIGHBOURS, REVERSE, INTRODUCED = 40, 40, 10
@@ -267,19 +265,13 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, reverse: int = REVERSE, i
     codes = saved(nodes.select("node", "x").mapInArrow(_coded, "member long, x binary"))
     for _ in range(rounds):
         graph = saved(descend(graph, codes, k, reverse, introduced))
-        _collect_garbage(graph)
+        release(nodes.sparkSession)
         share = graph.agg(F.sum("changed") / F.sum(F.length("near") / 12)).first()[0]
         if share is None or share < STILL:
             break
     return graph.select("node", "near")
 
 
-def _collect_garbage(df: DataFrame) -> None:
-    """Lets Spark's cleaner see which shuffles of earlier rounds nothing needs any more."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def _lists(circle: DataFrame) -> DataFrame:
     """(node, ids): the circle of each node as bytes of 64-bit ids."""
 
@@ -403,7 +395,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
         requests = wanted.select("query_id", "x", F.explode("ids").alias("id")).groupBy(part("id").alias("part"), "query_id").agg(F.first("x").alias("x"), F.collect_list("id").alias("ids"))
         scored = _together(requests, vectors, score, "query_id long, near binary").select(part("query_id").alias("part"), "query_id", "near")
         state = saved(_together(state, scored, update, "part int, query_id long, x binary, beam binary"))
-        _collect_garbage(state)
+        release(spark)
 
     # The best of each beam, scored once more from the original vectors in double precision.
     def best(batches):
