@@ -207,7 +207,8 @@ def dealt(docs: DataFrame, symbols, window: int, gram: int) -> DataFrame:
         if waiting and (made := out()) is not None:
             yield made
 
-    return docs.select("doc_id", "text", "tag").mapInArrow(run, "bucket long, blob binary")
+    # One partition for each bucket on average: a task's memory doesn't depend on the session's partition count.
+    return docs.select("doc_id", "text", "tag").mapInArrow(run, "bucket long, blob binary").repartition(buckets, "bucket")
 
 
 def shared_by_documents(group: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -22,32 +22,48 @@ from .anchors import _BASE, BYTE_CODES, covered, dealt, keyed, mix, shared_by_do
 from .common import concat_ranges
 
 WINDOW, GRAM = 13, 3
+#: Bytes of text whose words are coded at a time.
+SLICE = 1 << 20
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(int(_BASE), -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-_POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
 def word_codes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(64-bit code, begin, end) of every white-space separated word of a byte buffer."""
     inside = ~_IS_SPACE[buffer]
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(buffer) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[buffer] * up[: len(buffer)], dtype=np.uint64)])
-    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)), begin, end
+    if not len(begin):
+        return np.zeros(0, np.uint64), begin, end
+    size = end - begin
+    base = np.full(int(size.max()), _BASE, np.uint64)
+    base[0] = 1
+    powers = np.multiply.accumulate(base)
+    codes = np.empty(len(begin), np.uint64)
+    # Slices of about a megabyte (or one word) keep the index arrays small.
+    total = np.cumsum(size)
+    k = 0
+    while k < len(begin):
+        e = max(k + 1, int(np.searchsorted(total, total[k] + SLICE)))
+        own = size[k:e]
+        at = concat_ranges(begin[k:e], own)
+        terms = BYTE_CODES[buffer[at]] * powers[at - np.repeat(begin[k:e], own)]
+        codes[k:e] = np.add.reduceat(terms, np.cumsum(own) - own)
+        k = e
+    return mix(codes + size.astype(np.uint64)), begin, end
+
+
+def _rows_of(content: np.ndarray, offsets: np.ndarray, size: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contents of the used rows, each followed by a space, and where each begins."""
+    ends = np.cumsum(size[use] + 1)
+    begin = ends - size[use] - 1
+    text = np.full(int(ends[-1]), 0x20, np.uint8)
+    step = max(1, int(SLICE / max(1.0, size[use].mean())))
+    for k in range(0, len(use), step):
+        rows = use[k : k + step]
+        text[concat_ranges(begin[k : k + step], size[rows])] = content[concat_ranges(offsets[rows], size[rows])]
+    return text, begin
 
 
 class WordSymbols:
@@ -87,11 +103,11 @@ def judge_words(window: int = WINDOW, gram: int = GRAM):
         empty = np.zeros(0, np.int64)
         if not len(use):
             return empty, empty, empty
-        text = np.full(int(size[use].sum()) + len(use), 0x20, np.uint8)
-        own = np.cumsum(size[use] + 1) - (size[use] + 1)
-        text[concat_ranges(own, size[use])] = content[concat_ranges(offsets[use], size[use])]
+        text, own = _rows_of(content, offsets, size, use)
         codes, begin, _ = word_codes(text)
+        del text
         first = np.searchsorted(begin, own)
+        del begin
         doc = columns["doc"][use]
         anchor, count = columns["anchor"][use].astype(np.int64), columns["count"][use].astype(np.int64)
         spare = window - gram
