@@ -29,39 +29,76 @@ NEIGHBOURS, REVERSE, INTRODUCED = 40, 40, 10
 TABLES, BLOCK, BLOCK_MAX = 6, 3000, 4096
 #: Rounds of NN-descent, and the share of changed neighbours under which it stops earlier.
 ROUNDS, STILL = 3, 0.02
-#: Nodes in a query's beam, of which so many are expanded in a step; steps, at most (the walk ends by itself).
-BEAM, EXPANDED, STEPS = 128, 32, 24
+#: Nodes in a query's beam, of which so many are expanded in a step; steps, at most.
+BEAM, EXPANDED, STEPS = 160, 64, 8
+
+
+#: One neighbour in a packed list.
+NEAR = np.dtype([("id", "<i8"), ("score", "<f4")])
 
 
 def pack(ids: np.ndarray, scores: np.ndarray) -> bytes:
-    return ids.astype(np.int64).tobytes() + scores.astype(np.float32).tobytes()
+    out = np.empty(len(ids), NEAR)
+    out["id"], out["score"] = ids, scores
+    return out.tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, NEAR)
+
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of a binary column in a row, offset of each value)."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 12
-    return np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.float32, n, 8 * n)
 
+def _lists_of(records: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column of packed lists, from all records in a row and how many each list has."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]) * records.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(records.tobytes())])
 
-def nearest(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best different ids, best first; ties to the smaller id."""
-    order = np.lexsort((ids, -scores))
-    ids, scores = ids[order], scores[order]
-    first = np.sort(np.unique(ids, return_index=True)[1])[:k]
-    return ids[first], scores[first]
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, length) of each run of equal keys."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(keys)))
 
-def rows_in_order(batches, column: str):
-    """(key, rows) for runs of equal keys in a sorted stream of Arrow batches; rows are lists of dicts of one key."""
-    key, rows = None, []
+
+def _best(node: np.ndarray, near: np.ndarray, old: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each node's k best different neighbours, best first, ties to the smaller id; old if any row of the pair was."""
+    order = np.lexsort((-near["score"], near["id"], node))
+    node, near, old = node[order], near[order], old[order]
+    first = np.concatenate([[True], (node[1:] != node[:-1]) | (near["id"][1:] != near["id"][:-1])])
+    old = np.logical_or.reduceat(old, np.flatnonzero(first))
+    node, near = node[first], near[first]
+    own = near["id"] != node
+    node, near, old = node[own], near[own], old[own]
+    order = np.lexsort((near["id"], -near["score"], node))
+    node, near, old = node[order], near[order], old[order]
+    at, sizes = _groups(node)
+    keep = np.arange(len(node)) - np.repeat(at, sizes) < k
+    return node[keep], near[keep], old[keep]
+
+
+def by_key(batches, column: int):
+    """Record batches of a sorted stream, cut so that rows of one key (an integer column) are never apart."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        for r in b.to_pylist():
-            if rows and r[column] != key:
-                yield key, rows
-                rows = []
-            key = r[column]
-            rows.append(r)
-    if rows:
-        yield key, rows
+        if not len(b):
+            continue
+        keys = b.column(column).to_numpy()
+        if held and keys[-1] == held[-1].column(column)[0].as_py():
+            held.append(b)
+            continue
+        cut = int(np.searchsorted(keys, keys[-1], side="left"))
+        if cut or held:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks().to_batches()[0] if held or cut else b
+        held = [b.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -140,39 +177,35 @@ def first_graph(nodes: DataFrame, k: int, tables: int = TABLES, block: int = BLO
 def merge(candidates: DataFrame, k: int) -> DataFrame:
     """(node, near, changed) with the k best of all lists of a node; changed counts those that no row marked old had.
 
-    candidates: node, near, old. A node's lists are merged one by one as they stream in.
+    candidates: node, near, old. Lists are merged batch by batch as they stream in.
     """
 
     def run(batches):
-        key, best, before, out = None, None, None, []
-
-        def done():
-            fresh = len(np.setdiff1d(best[0], before)) if before is not None else len(best[0])
-            out.append((key, pack(*best), fresh))
-
-        def flush():
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int32()))], ["node", "near", "changed"])
-            out.clear()
-            return made
-
+        held = None
         for b in batches:
-            for node, near, old in zip(*(b.column(j).to_pylist() for j in range(3))):
-                ids, scores = unpack(near)
-                if node != key:
-                    if best is not None:
-                        done()
-                    key, best, before = node, nearest(ids[ids != node], scores[ids != node], k), None
-                else:
-                    ids, scores = np.concatenate([best[0], ids]), np.concatenate([best[1], scores])
-                    best = nearest(ids[ids != node], scores[ids != node], k)
-                if old:
-                    before = ids if before is None and node == key and len(ids) == len(near) // 12 else unpack(near)[0]
-            if len(out) >= 2000:
-                yield flush()
-        if best is not None:
-            done()
-        if out:
-            yield flush()
+            if not len(b):
+                continue
+            data, offsets = _flat(b.column(1))
+            near = data.view(NEAR)
+            counts = np.diff(offsets) // NEAR.itemsize
+            node = np.repeat(b.column(0).to_numpy(), counts)
+            old = np.repeat(b.column(2).to_numpy(zero_copy_only=False), counts)
+            if held is not None:
+                node, near, old = np.concatenate([held[0], node]), np.concatenate([held[1], near]), np.concatenate([held[2], old])
+            if not len(node):
+                continue
+            node, near, old = _best(node, near, old, k)
+            # The last node may go on in the next batch.
+            last = len(node) if not len(node) else int(np.searchsorted(node, node[-1]))
+            held = node[last:], near[last:], old[last:]
+            if last:
+                yield made(node[:last], near[:last], old[:last])
+        if held is not None and len(held[0]):
+            yield made(*held)
+
+    def made(node, near, old):
+        first, counts = _groups(node)
+        return pa.RecordBatch.from_arrays([pa.array(node[first]), _lists_of(near, counts), pa.array(np.add.reduceat(~old, first).astype(np.int32))], ["node", "near", "changed"])
 
     return candidates.select("node", "near", "old").repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, near binary, changed int")
 
@@ -182,10 +215,10 @@ def _edges(graph: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            lists = [unpack(x) for x in b.column(1).to_pylist()]
-            if lists:
-                src = np.repeat(b.column(0).to_numpy(), [len(i) for i, _ in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(np.concatenate([i for i, _ in lists])), pa.array(np.concatenate([s for _, s in lists]))], ["src", "dst", "score"])
+            data, offsets = _flat(b.column(1))
+            near = data.view(NEAR)
+            src = np.repeat(b.column(0).to_numpy(), np.diff(offsets) // NEAR.itemsize)
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(np.ascontiguousarray(near["id"])), pa.array(np.ascontiguousarray(near["score"]))], ["src", "dst", "score"])
 
     return graph.select("node", "near").mapInArrow(run, "src long, dst long, score float")
 
@@ -207,7 +240,7 @@ def descend(graph: DataFrame, codes: DataFrame, k: int, reverse: int, introduced
 
     def bounds(batches):
         for b in batches:
-            low = [float(unpack(x)[1].min(initial=np.inf)) if len(x) >= 12 * k else -np.inf for x in b.column(1).to_pylist()]
+            low = [float(unpack(x)["score"].min()) if len(x) >= NEAR.itemsize * k else -np.inf for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.float32())], ["member", "worst"])
 
     known = codes.join(worst.mapInArrow(bounds, "member long, worst float"), "member", "left")
@@ -215,40 +248,48 @@ def descend(graph: DataFrame, codes: DataFrame, k: int, reverse: int, introduced
 
     def introduce(batches):
         out: list[tuple] = []
-        for _, rows in rows_in_order(batches, "owner"):
-            one = {r["member"]: r for r in rows}
-            ids = np.fromiter(one, np.int64, len(one))
-            if len(ids) < 2:
-                continue
-            x = np.stack([_decoded(r["x"]) for r in one.values()])
-            low = np.array([r["worst"] if r["worst"] is not None else -np.inf for r in one.values()], np.float32)
-            s = x @ x.T
-            np.fill_diagonal(s, -np.inf)
-            few = min(introduced, len(ids) - 1)
-            top = np.argpartition(-s, few - 1, axis=1)[:, :few]
-            got = np.take_along_axis(s, top, 1)
-            for i in np.flatnonzero((got > low[:, None]).any(1)):
-                good = got[i] > low[i]
-                out.append((int(ids[i]), pack(ids[top[i][good]], got[i][good])))
-            if len(out) >= 5000:
-                yield _batch(out)
+        size = 0
+
+        def flush():
+            node, near = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+            out.clear()
+            order = np.argsort(node, kind="stable")
+            node, near = node[order], near[order]
+            first, counts = _groups(node)
+            return pa.RecordBatch.from_arrays([pa.array(node[first]), _lists_of(near, counts)], ["node", "near"])
+
+        for b in by_key(batches, 0):
+            member = b.column(1).to_numpy()
+            data, offsets = _flat(b.column(2))
+            code = data.reshape(len(b), int(offsets[1]))
+            x = code[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(code[:, :4]).view(np.float32)
+            low = np.nan_to_num(b.column(3).to_numpy(zero_copy_only=False), nan=-np.inf).astype(np.float32)
+            for at, n in zip(*_groups(b.column(0).to_numpy())):
+                ids, one = np.unique(member[at : at + n], return_index=True)
+                if len(ids) < 2:
+                    continue
+                v = x[at + one]
+                s = v @ v.T
+                np.fill_diagonal(s, -np.inf)
+                few = min(introduced, len(ids) - 1)
+                top = np.argpartition(s, len(ids) - few, axis=1)[:, -few:]
+                got = np.take_along_axis(s, top, 1)
+                i, j = np.nonzero(got > low[at + one][:, None])
+                if len(i):
+                    near = np.empty(len(i), NEAR)
+                    near["id"], near["score"] = ids[top[i, j]], got[i, j]
+                    out.append((ids[i], near))
+                    size += len(i)
+            if size > 500_000:
+                yield flush()
+                size = 0
         if out:
-            yield _batch(out)
+            yield flush()
 
     met = circle.select("owner", "member", "x", "worst").repartition("owner").sortWithinPartitions("owner").mapInArrow(introduce, "node long, near binary")
     return merge(met.withColumn("old", F.lit(False)).unionByName(graph.select("node", "near").withColumn("old", F.lit(True))), k)
 
 
-def _batch(out: list[tuple]) -> pa.RecordBatch:
-    made = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["node", "near"])
-    out.clear()
-    return made
-
-
-def _decoded(code: bytes) -> np.ndarray:
-    return np.frombuffer(code, np.int8, len(code) - 4, 4).astype(np.float32) * np.frombuffer(code, np.float32, 1)[0]
-
-
 def _coded(batches):
     for b in batches:
         out = []
@@ -266,7 +307,7 @@ def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, reverse: int = REVERSE, i
     for _ in range(rounds):
         graph = saved(descend(graph, codes, k, reverse, introduced))
         release(nodes.sparkSession)
-        share = graph.agg(F.sum("changed") / F.sum(F.length("near") / 12)).first()[0]
+        share = graph.agg(F.sum("changed") / F.sum(F.length("near") / NEAR.itemsize)).first()[0]
         if share is None or share < STILL:
             break
     return graph.select("node", "near")
@@ -276,15 +317,10 @@ def _lists(circle: DataFrame) -> DataFrame:
     """(node, ids): the circle of each node as bytes of 64-bit ids."""
 
     def run(batches):
-        out = []
-        for owner, rows in rows_in_order(batches, "owner"):
-            out.append((owner, np.unique(np.array([r["member"] for r in rows], np.int64)).tobytes()))
-            if len(out) >= 5000:
-                made = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["node", "ids"])
-                out.clear()
-                yield made
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["node", "ids"])
+        for b in by_key(batches, 0):
+            pairs = np.unique(np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]), axis=0)
+            first, counts = _groups(pairs[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[first, 0]), _lists_of(np.ascontiguousarray(pairs[:, 1]), counts)], ["node", "ids"])
 
     return circle.repartition("owner").sortWithinPartitions("owner").mapInArrow(run, "node long, ids binary")
 
@@ -318,7 +354,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(blob, pa.binary())], ["query_id", "x", "beam"])
 
     started = queries.join(nodes.select("node", "x"), "node").select("query_id", "node", "x").mapInArrow(begin, "query_id long, x binary, beam binary")
-    state = saved(started.select(part("query_id").alias("part"), "query_id", "x", "beam"))
+    state = saved(started.select(part("query_id").alias("part"), "query_id", "x", "beam", F.lit(1).alias("open")))
 
     def opened(beam_: bytes):
         n = len(beam_) // 13
@@ -374,28 +410,28 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
         got: dict[int, list[bytes]] = {}
         for q, b in zip(scored.column("query_id").to_pylist(), scored.column("near").to_pylist()):
             got.setdefault(q, []).append(b)
-        out = []
+        out, left = [], []
         for q, blob in zip(beams.column("query_id").to_pylist(), beams.column("beam").to_pylist()):
             ids, scores, flags = opened(blob)
             flags = flags.copy()
             flags[np.flatnonzero(flags == 0)[:expanded]] = 1
-            more = [unpack(b) for b in got.get(q, [])]
-            ids, scores = np.concatenate([ids, *(m[0] for m in more)]), np.concatenate([scores, *(m[1] for m in more)])
+            more = unpack(b"".join(got.get(q, [])))
+            ids, scores = np.concatenate([ids, more["id"]]), np.concatenate([scores, more["score"]])
             flags = np.concatenate([flags, np.zeros(len(ids) - len(flags), np.uint8)])
             order = np.lexsort((ids, -scores))[:beam]
             out.append(ids[order].tobytes() + scores[order].tobytes() + flags[order].tobytes())
-        return pa.table({"part": beams.column("part"), "query_id": beams.column("query_id"), "x": beams.column("x"), "beam": pa.array(out, pa.binary())})
+            left.append(int((flags[order] == 0).sum()))
+        return pa.table({"part": beams.column("part"), "query_id": beams.column("query_id"), "x": beams.column("x"), "beam": pa.array(out, pa.binary()), "open": pa.array(left, pa.int32())})
 
     for _ in range(steps):
-        asked = state.select("query_id", "beam").mapInArrow(frontier, "query_id long, node long").select(part("node").alias("part"), "query_id", "node")
-        if asked.isEmpty():
-            break
+        asked = state.where("open > 0").select("query_id", "beam").mapInArrow(frontier, "query_id long, node long").select(part("node").alias("part"), "query_id", "node")
         lists = _together(asked, adjacency, look_up, "query_id long, ids binary").select(part("query_id").alias("part"), "query_id", "ids")
         wanted = _together(state, lists, ask, "query_id long, x binary, ids array<long>")
         requests = wanted.select("query_id", "x", F.explode("ids").alias("id")).groupBy(part("id").alias("part"), "query_id").agg(F.first("x").alias("x"), F.collect_list("id").alias("ids"))
         scored = _together(requests, vectors, score, "query_id long, near binary").select(part("query_id").alias("part"), "query_id", "near")
-        state = saved(_together(state, scored, update, "part int, query_id long, x binary, beam binary"))
-        release(spark)
+        state = saved(_together(state, scored, update, "part int, query_id long, x binary, beam binary, open int"))
+        if state.where("open > 0").isEmpty():
+            break
 
     # The best of each beam, scored once more from the original vectors in double precision.
     def best(batches):
