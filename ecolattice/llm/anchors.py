@@ -151,10 +151,10 @@ class Blob:
         return {k: np.concatenate(v) for k, v in parts.items()}, np.concatenate(contents)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and tag, a hash of the text that tells apart rows which repeat a doc_id."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """doc_id, text and tag, a hash of the text that tells apart rows which repeat a doc_id; and more columns."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("tag"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("tag"), *more)
 
 
 def dealt(docs: DataFrame, symbols, window: int, gram: int) -> DataFrame:
@@ -165,7 +165,7 @@ def dealt(docs: DataFrame, symbols, window: int, gram: int) -> DataFrame:
     that comes last). Rows with a null doc_id take no part.
     """
     small_batches(docs.sparkSession)
-    buckets = partitions_for(docs, 4)
+    buckets = partitions_for(docs, symbols.bucket_mb)
 
     def emit(ids, tags, bases, texts):
         codes, starts, lengths, begins, ends, buffer = symbols(texts)
@@ -253,17 +253,20 @@ def spans(blobs: DataFrame, judge) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(run, "doc_id long, tag int, span long")
 
 
-def with_spans(docs: DataFrame, found: DataFrame, cut, schema: str) -> DataFrame:
+def with_spans(docs: DataFrame, found: DataFrame, cut, schema: str, rest: str | None = None) -> DataFrame:
     """What cut(doc_id, text's bytes, merged spans) gives for every keyed document; texts are shuffled compressed.
 
     A document's spans are at most as many as its own windows, so its group is
     bounded by its length. Spans are checkpointed first: the runs' shuffle,
-    which is the largest, can go before the texts are shuffled.
+    which is the largest, can go before the texts are shuffled. A column named
+    by `rest` travels along and is added to the result.
     """
     found = saved(found)
     release(docs.sparkSession)
     small_batches(docs.sparkSession)
     names = [f.strip().split(" ")[0] for f in _fields(schema)]
+    more = [rest] if rest else []
+    extra = f", {rest} {docs.schema[rest].dataType.simpleString()}" if rest else ""
 
     def shrink(batches):
         import zstandard
@@ -271,7 +274,7 @@ def with_spans(docs: DataFrame, found: DataFrame, cut, schema: str) -> DataFrame
         for b in batches:
             tool = zstandard.ZstdCompressor(level=LEVEL)
             z = [tool.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), b.column(2)], ["doc_id", "z", "tag"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), *b.columns[2:]], ["doc_id", "z", "tag", *more])
 
     def apply(batches):
         import zstandard
@@ -282,11 +285,12 @@ def with_spans(docs: DataFrame, found: DataFrame, cut, schema: str) -> DataFrame
                 packed = np.zeros(0, np.int64) if not s.is_valid else s.values.to_numpy(zero_copy_only=False)
                 begin = packed >> _SPAN
                 rows.append(cut(i, tool.decompress(z.as_py()), merged(np.column_stack([begin, begin + (packed & ((1 << _SPAN) - 1))]))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), cut.types)] if rows else [pa.array([], t) for t in cut.types], names)
+            made = [pa.array(c, t) for c, t in zip(zip(*rows), cut.types)] if rows else [pa.array([], t) for t in cut.types]
+            yield pa.RecordBatch.from_arrays([*made, *b.columns[3:]], [*names, *more])
 
-    small = docs.select("doc_id", "text", "tag").mapInArrow(shrink, "doc_id long, z binary, tag int")
+    small = docs.select("doc_id", "text", "tag", *more).mapInArrow(shrink, "doc_id long, z binary, tag int" + extra)
     lists = found.groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans"))
-    return small.join(lists, ["doc_id", "tag"], "left").select("doc_id", "z", "spans").mapInArrow(apply, schema)
+    return small.join(lists, ["doc_id", "tag"], "left").select("doc_id", "z", "spans", *more).mapInArrow(apply, schema + extra)
 
 
 def _fields(schema: str) -> list[str]:

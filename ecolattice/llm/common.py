@@ -63,8 +63,14 @@ def release(spark: SparkSession) -> None:
 
 
 def partitions_for(df: DataFrame, mb: float) -> int:
-    """Shuffle partitions for a frame, by the planner's size estimate: one for every `mb` MB, no fewer than the session's."""
+    """Shuffle partitions for a frame with a column text: one for every `mb` MB, no fewer than the session's.
+
+    The size is the planner's estimate; where it has none (frames over RDDs or
+    checkpoints), the texts' bytes are summed.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > 1 << 60:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(100_000, int(size / (mb * 1e6)) + 1))

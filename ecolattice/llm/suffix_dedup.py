@@ -35,6 +35,8 @@ class ByteSymbols:
     """Bytes of texts as symbols. Anchors' hashes are not sent, as they follow from the contents."""
 
     keep_hash = False
+    #: MB of input for each bucket.
+    bucket_mb = 4
 
     def __call__(self, texts: list[bytes]):
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -348,17 +350,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     return with_spans(own, found, _Cut(), "doc_id long, n_bytes long, kept binary, spans array<struct<begin: long, end: long>>")
 
 
+class _CutText:
+    types = (pa.string(),)
+
+    def __call__(self, doc_id, data: bytes, found: np.ndarray):
+        return (_Cut()(doc_id, data, found)[2].decode("utf-8", "ignore"),)
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The rows of `docs` with repeated bytes cut out of `text`; characters that a cut leaves incomplete go too.
 
-    A null text stays null. Rows with a null doc_id stay as they are.
+    A null text stays null. Rows with a null doc_id stay as they are. The other
+    columns travel beside the text, which is shuffled once.
     """
-    def decode(batches):
-        for b in batches:
-            texts = [k.as_py().decode("utf-8", "ignore") for k in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2)], ["_id", "_text", "_n"])
-
-    cut = remove_repeats(docs, window, gram).where("size(spans) > 0").select("doc_id", "kept", "n_bytes").mapInArrow(decode, "_id long, _text string, _n long")
-    cut = cut.groupBy("_id", "_n").agg(F.min("_text").alias("_text"))
-    joined = docs.join(cut, (docs["doc_id"] == cut["_id"]) & (F.octet_length(docs["text"]) == cut["_n"]), "left")
-    return joined.select(*[F.coalesce("_text", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    rest = F.struct(docs["text"].isNull().alias("_null"), *[docs[c].alias(f"c{k}") for k, c in enumerate(others)]).alias("_rest")
+    own = keyed(docs, "doc_id", "text", rest)
+    found = spans(dealt(own, ByteSymbols(), window, gram), judge_bytes(window, gram))
+    cut = with_spans(own, found, _CutText(), "_text string", "_rest")
+    text = F.when(~F.col("_rest._null"), F.col("_text")).alias("text")
+    return cut.select(*[text if c == "text" else F.col(f"_rest.c{others.index(c)}").alias(c) for c in docs.columns])
