@@ -70,6 +70,8 @@ class WordSymbols:
     """Words of texts as symbols. A part of the anchors' hashes is sent along, to find seeds before words are looked at."""
 
     keep_hash = True
+    #: MB of input for each bucket.
+    bucket_mb = 2
 
     def __call__(self, texts: list[bytes]):
         buffer = np.frombuffer(b"\n".join(texts), np.uint8)
