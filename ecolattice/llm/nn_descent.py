@@ -27,6 +27,10 @@ from .common import release, saved
 NEIGHBOURS, REVERSE, INTRODUCED = 40, 40, 10
 #: Hyperplane tables of the first graph, vectors of a block on average and at most.
 TABLES, BLOCK, BLOCK_MAX = 6, 3000, 4096
+#: Introductions that a task gathers by node before it hands them on (12 bytes each).
+INTRODUCTIONS = 4_000_000
+#: Nodes of a partition in the search.
+PART_NODES = 5000
 #: Rounds of NN-descent, and the share of changed neighbours under which it stops earlier.
 ROUNDS, STILL = 3, 0.02
 #: Nodes in a query's beam, of which so many are expanded in a step; steps, at most.
@@ -280,7 +284,7 @@ def descend(graph: DataFrame, codes: DataFrame, k: int, reverse: int, introduced
                     near["id"], near["score"] = ids[top[i, j]], got[i, j]
                     out.append((ids[i], near))
                     size += len(i)
-            if size > 500_000:
+            if size > INTRODUCTIONS:
                 yield flush()
                 size = 0
         if out:
@@ -340,8 +344,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
     Scores are exact doubles. Nodes, requests and beams meet in partitions by
     a hash of the node or of the query.
     """
-    spark = nodes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() // 50_000 + 1)
+    parts = max(8, nodes.count() // PART_NODES + 1)
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
     vectors = saved(nodes.select(part("node").alias("part"), "node", "x"))
     adjacency = saved(_lists(_circle(graph, reverse)).select(part("node").alias("part"), "node", "ids"))
