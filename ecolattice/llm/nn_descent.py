@@ -31,10 +31,12 @@ TABLES, BLOCK, BLOCK_MAX = 6, 3000, 4096
 INTRODUCTIONS = 4_000_000
 #: Nodes of a partition in the search.
 PART_NODES = 5000
-#: Rounds of NN-descent, and the share of changed neighbours under which it stops earlier.
-ROUNDS, STILL = 3, 0.02
-#: Nodes in a query's beam, of which so many are expanded in a step; steps, at most.
-BEAM, EXPANDED, STEPS = 160, 64, 8
+#: The share of changed neighbours under which NN-descent ends.
+STILL = 0.02
+#: Nodes in a query's beam, of which so many are expanded in a step; the walk ends when no query has one left.
+BEAM, EXPANDED = 160, 64
+#: Rounds and steps after which something must be wrong: an error, never an end.
+MOST_ROUNDS, MOST_STEPS = 200, 2000
 
 
 #: One neighbour in a packed list.
@@ -304,17 +306,17 @@ def _coded(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["member", "x"])
 
 
-def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, reverse: int = REVERSE, introduced: int = INTRODUCED, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
-    """(node, near): the neighbour graph over nodes (node, x); checkpointed."""
+def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, reverse: int = REVERSE, introduced: int = INTRODUCED, seed: int = 1) -> DataFrame:
+    """(node, near): the neighbour graph over nodes (node, x), descended until fewer than STILL of the neighbours change; checkpointed."""
     graph = saved(merge(first_graph(nodes, k, seed=seed).withColumn("old", F.lit(False)), k))
     codes = saved(nodes.select("node", "x").mapInArrow(_coded, "member long, x binary"))
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS):
         graph = saved(descend(graph, codes, k, reverse, introduced))
         release(nodes.sparkSession)
         share = graph.agg(F.sum("changed") / F.sum(F.length("near") / NEAR.itemsize)).first()[0]
         if share is None or share < STILL:
-            break
-    return graph.select("node", "near")
+            return graph.select("node", "near")
+    raise RuntimeError(f"neighbours still change after {MOST_ROUNDS} rounds")
 
 
 def _lists(circle: DataFrame) -> DataFrame:
@@ -338,7 +340,7 @@ def _by_id(table: pa.Table, column: str, key: str = "node") -> dict:
     return dict(zip(table.column(key).to_pylist(), table.column(column).to_pylist()))
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, expanded: int = EXPANDED, steps: int = STEPS, reverse: int = REVERSE) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, expanded: int = EXPANDED, reverse: int = REVERSE) -> DataFrame:
     """(query_id, node, score): the best nodes found for queries (query_id, node), at least k classes of equal vectors if there are.
 
     Scores are exact doubles. Nodes, requests and beams meet in partitions by
@@ -426,15 +428,18 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
             left.append(int((flags[order] == 0).sum()))
         return pa.table({"part": beams.column("part"), "query_id": beams.column("query_id"), "x": beams.column("x"), "beam": pa.array(out, pa.binary()), "open": pa.array(left, pa.int32())})
 
-    for _ in range(steps):
+    for _ in range(MOST_STEPS):
         asked = state.where("open > 0").select("query_id", "beam").mapInArrow(frontier, "query_id long, node long").select(part("node").alias("part"), "query_id", "node")
         lists = _together(asked, adjacency, look_up, "query_id long, ids binary").select(part("query_id").alias("part"), "query_id", "ids")
         wanted = _together(state, lists, ask, "query_id long, x binary, ids array<long>")
         requests = wanted.select("query_id", "x", F.explode("ids").alias("id")).groupBy(part("id").alias("part"), "query_id").agg(F.first("x").alias("x"), F.collect_list("id").alias("ids"))
         scored = _together(requests, vectors, score, "query_id long, near binary").select(part("query_id").alias("part"), "query_id", "near")
         state = saved(_together(state, scored, update, "part int, query_id long, x binary, beam binary, open int"))
+        release(nodes.sparkSession)
         if state.where("open > 0").isEmpty():
             break
+    else:
+        raise RuntimeError(f"queries still have nodes to expand after {MOST_STEPS} steps")
 
     # The best of each beam, scored once more from the original vectors in double precision.
     def best(batches):
