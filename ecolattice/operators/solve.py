@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,14 +40,41 @@ def production_exchanges(technosphere: DataFrame) -> DataFrame:
     return found.select(*keys[:-1], "product_id", F.col("col_id").alias("activity_id"), "amount")
 
 
+def unfit_for_joins(technosphere: DataFrame) -> str | None:
+    """Why production by joins would not solve the same system: None if each activity makes one product, and each product has one maker."""
+    by = [c for c in technosphere.columns if c == "iteration"]
+    positive = F.col("amount") > 0
+    if not technosphere.groupBy(*by, "col_id").agg(F.count_if(positive).alias("n")).where("n <> 1").isEmpty():
+        return "an activity has several products or none"
+    if not technosphere.groupBy(*by, "row_id").agg(F.count_if(positive).alias("n")).where("n <> 1").isEmpty():
+        return "a product has several makers or none"
+    return None
+
+
+def cyclic(technosphere: DataFrame) -> bool:
+    """Whether a product needs itself, in a system that fits joins: inputs that need nothing go, until none is left or none goes."""
+    by = [c for c in technosphere.columns if c == "iteration"]
+    made = production_exchanges(technosphere).select(*by, F.col("product_id").alias("consumer"), F.col("activity_id").alias("col_id"))
+    left = cut(technosphere.where("amount < 0").join(made, [*by, "col_id"]).select(*by, "consumer", F.col("row_id").alias("input")))
+    before, n = None, left.count()
+    while n and n != before:
+        left = cut(left.join(left.select(*by, F.col("consumer").alias("input")).distinct(), [*by, "input"], "left_semi"))
+        before, n = n, left.count()
+    return n > 0
+
+
 def solve_acyclic(technosphere: DataFrame, demands: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
     """([iteration,] fu, activity_id, amount) by following inputs level by level with joins.
 
     Exact for systems whose products don't depend on themselves; raises
-    SingularTechnosphere if they still do after max_levels. Every level is a
-    join on the product and a pre-aggregated sum, so only what the demands
-    reach is read on.
+    SingularTechnosphere if they still do after max_levels, and ValueError
+    unless each activity makes one product that nothing else makes. Every
+    level is a join on the product and a pre-aggregated sum, so only what the
+    demands reach is read on.
     """
+    reason = unfit_for_joins(technosphere)
+    if reason:
+        raise ValueError(f"{reason}; use a numeric solver")
     by = ["iteration"] if "iteration" in technosphere.columns else []
     make = cut(production_exchanges(technosphere).withColumnRenamed("amount", "per_unit"))
     inputs = technosphere.where("amount < 0").withColumnRenamed("col_id", "activity_id").join(make, [*by, "activity_id"])
@@ -110,14 +139,16 @@ def supply(technosphere: DataFrame, demands: DataFrame, solver="auto", chunk: in
 
     solver: auto, acyclic (joins), dense, gmres, cgs, least_squares, or a
     callable (System, right-hand side) -> solution. auto counts the cells:
-    systems that fit a task are solved there, larger ones by joins.
+    systems that fit a task are solved there, larger ones by joins if those
+    give the same answer (one product an activity, one maker a product, no
+    cycle), otherwise still in a task.
     """
     if solver == "acyclic":
         return solve_acyclic(technosphere, demands, **options)
     if solver == "auto":
         per = technosphere.groupBy("iteration").count().agg(F.max("count")) if "iteration" in technosphere.columns else technosphere.agg(F.count("*"))
-        if (per.first()[0] or 0) > TASK_CELLS:
-            return solve_acyclic(technosphere, demands, **options)
+        if (per.first()[0] or 0) > TASK_CELLS and not unfit_for_joins(technosphere) and not cyclic(technosphere):
+            return solve_acyclic(technosphere, demands, **{"max_levels": sys.maxsize, **options})
     return solve_numeric(technosphere, demands, solver, chunk, **options)
 
 
