@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from .common import SPACE, saved
 
 RISK, DELTA, COST = 0.01, 0.05, 20
-#: Strata that are calibrated, at most: those with the most labelled rows. In others no cutoff applies.
+#: Strata that the SQL of `oracle` calibrates, at most: those with the most labelled rows. `calibrate` takes all of them.
 STRATA = 64
 
 #: Rule: the statistic that must stay at or below the cutoff, and the grid of cutoffs.
@@ -88,7 +88,7 @@ def calibrate(counts: DataFrame, labels: DataFrame, label: str = "quality", risk
         for j, c in enumerate(grid):
             over = _statistic(rule) > c
             sums += [F.sum((good & over).cast("int")).alias(f"{rule}_{j}_good"), F.sum((bad & over).cast("int")).alias(f"{rule}_{j}_bad")]
-    table = rows.groupBy("stratum").agg(F.count("*").alias("labelled"), *sums).orderBy(F.desc("labelled"), "stratum").limit(STRATA)
+    table = rows.groupBy("stratum").agg(*sums)
     trials = [
         F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}_{j}_good").alias("false_rejections"), F.col(f"{rule}_{j}_bad").alias("rejected"))
         for rule, grid in GRID.items()
@@ -111,8 +111,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows and null ids are kept as rows; other columns are ignored.
     """
     counts = saved(base_counts(docs, id_col, text_col, stratum_col))
-    # At most STRATA rows of six numbers: small by construction.
-    cutoffs = F.broadcast(calibrate(counts, labels, risk=risk, delta=delta).withColumnRenamed("stratum", "_s"))
+    cutoffs = calibrate(counts, labels, risk=risk, delta=delta).withColumnRenamed("stratum", "_s")
     passes = F.lit(True)
     for rule in GRID:
         passes = passes & F.coalesce(_statistic(rule) <= F.col(rule), F.lit(True))
@@ -126,7 +125,7 @@ def keep_passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same as `apply_rules` over `documents` and `labels`, in DuckDB's SQL."""
+    """The same as `apply_rules` over `documents` and `labels` of at most STRATA languages, in DuckDB's SQL."""
     stat = {"symbols": "100 * n_symbols", "dup_lines": "100 * n_dup_lines", "repeats": "100 * n_repeat_words", "long_words": "word_chars", "short_words": "-word_chars"}
     grid = ", ".join(f"('{r}', cast({c} as double))" for r, g in GRID.items() for c in g)
     value = "case rule " + " ".join(f"when '{r}' then cast({s} as double) / greatest(n_words, 1)" for r, s in stat.items()) + " end"
