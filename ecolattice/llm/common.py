@@ -63,7 +63,7 @@ def release(spark: SparkSession) -> None:
 
 
 def partitions_for(df: DataFrame, mb: float) -> int:
-    """Shuffle partitions for a frame with a column text: one for every `mb` MB, no fewer than the session's.
+    """How many parts a frame with a column text has if each is of `mb` MB; no fewer than the session's shuffle partitions.
 
     The size is the planner's estimate; where it has none (frames over RDDs or
     checkpoints), the texts' bytes are summed.
@@ -73,7 +73,7 @@ def partitions_for(df: DataFrame, mb: float) -> int:
         size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(100_000, int(size / (mb * 1e6)) + 1))
+    return max(least, int(size / (mb * 1e6)) + 1)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

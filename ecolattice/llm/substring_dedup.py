@@ -5,11 +5,11 @@ anchors.py). Documents are joined on anchors; each shared anchor is a seed
 that is extended to the left and to the right, word by word: occurrences stay
 together as long as their words agree. A window is a repeat if an occurrence
 in a document with a smaller id agrees with it as far as the window reaches on
-both sides. Overlapping repeats are merged into maximal ones, so none is
+both sides, which is compared word by word. Overlapping repeats are merged into maximal ones, so none is
 shorter than the window.
 
-Extension works on classes of agreeing occurrences, never on pairs, so a
-passage that very many documents hold costs as much as its occurrences.
+Extension works on classes of agreeing strings, never on pairs, so a passage
+that very many documents hold is extended once for every chunk of documents.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import _BASE, BYTE_CODES, covered, dealt, keyed, mix, shared_by_documents, spans, with_spans
+from .anchors import _BASE, BYTE_CODES, covered, dealt, first_equal, keyed, mix, owners, repeated, shared_by_documents, spans, with_spans
 from .common import concat_ranges
 
 WINDOW, GRAM = 13, 3
@@ -78,7 +78,7 @@ class WordSymbols:
         codes, begin, end = word_codes(buffer)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         edges = np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes)]))
-        return codes, edges[:-1], np.diff(edges), begin, end, buffer
+        return lambda a, b: codes[a:b], len(codes), edges[:-1], np.diff(edges), begin.__getitem__, end.__getitem__, buffer
 
     def segments(self, data: bytes, window: int, size: int):
         """A long text in parts that overlap by window - 1 words; each with the number of its first word."""
@@ -94,35 +94,49 @@ class WordSymbols:
             at = to
 
 
+def word_names(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, begin) of every word of a text; names (numbers) are equal if the words are, byte by byte."""
+    codes, begin, end = word_codes(text)
+    return first_equal(codes, text, begin, end - begin).astype(np.uint64), begin
+
+
+def classes_of(key: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The number of the first row that equals each row of a matrix; key holds integers that equal rows share."""
+    flat = np.ascontiguousarray(rows).view(np.uint8).reshape(-1)
+    width = rows.shape[1] * rows.itemsize
+    return first_equal(key, flat, np.arange(len(rows)) * width, np.full(len(rows), width))
+
+
 def judge_words(window: int = WINDOW, gram: int = GRAM):
     """The judge of a bucket's runs: stretches of windows that start in a smaller document too."""
 
-    def judge(columns: dict[str, np.ndarray], content: np.ndarray):
-        size = columns["size"].astype(np.int64)
+    def judge(strings: dict[str, np.ndarray], places: dict[str, np.ndarray], content: np.ndarray):
+        size = strings["size"].astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(size)])
+        owner, last = owners(places, len(size))
         # Seeds: anchors that two documents share.
-        use = np.flatnonzero(shared_by_documents(columns["h"], columns["doc"]))
+        use = np.flatnonzero(shared_by_documents(strings["h"], owner, last))
         empty = np.zeros(0, np.int64)
         if not len(use):
             return empty, empty, empty
         text, own = _rows_of(content, offsets, size, use)
-        codes, begin, _ = word_codes(text)
+        names, begin = word_names(text)
         del text
         first = np.searchsorted(begin, own)
         del begin
-        doc = columns["doc"][use]
-        anchor, count = columns["anchor"][use].astype(np.int64), columns["count"][use].astype(np.int64)
+        low, high = owner[use], last[use]
+        anchor, count = strings["anchor"][use].astype(np.int64), strings["count"][use].astype(np.int64)
         spare = window - gram
         left = np.minimum(anchor, spare)
         right = np.minimum(count - 1 + window - gram - anchor, spare)
         # Extension: what k words to the left (right) of the anchor read, as one code per k.
         seed = np.zeros(len(use), np.uint64)
         for k in range(gram):
-            seed = mix(seed * _BASE + codes[first + anchor + k])
+            seed = mix(seed * _BASE + names[first + anchor + k])
         lefts, rights = [seed], [seed]
         for k in range(1, spare + 1):
-            a = codes[np.maximum(first + anchor - k, 0)]
-            b = codes[np.minimum(first + anchor + gram - 1 + k, len(codes) - 1)]
+            a = names[np.maximum(first + anchor - k, 0)]
+            b = names[np.minimum(first + anchor + gram - 1 + k, len(names) - 1)]
             lefts.append(mix(lefts[-1] * _BASE + a))
             rights.append(mix(rights[-1] * _BASE + b))
         at = np.cumsum(count) - count
@@ -132,20 +146,22 @@ def judge_words(window: int = WINDOW, gram: int = GRAM):
         alive = np.zeros(len(use), bool)
         for has, code in ((left >= half, lefts[half]), (right >= half, rights[half])):
             some = np.flatnonzero(has)
-            alive[some] |= shared_by_documents(code[some], doc[some])
+            alive[some] |= shared_by_documents(code[some], low[some], high[some])
         for k in range(spare + 1):
             rows = np.flatnonzero(alive & (left >= k) & (right >= spare - k) & (anchor - k < count))
             if not len(rows):
                 continue
             key = mix(lefts[k][rows] * _BASE + rights[spare - k][rows])
-            order = np.argsort(key, kind="stable")
-            cut = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-            least = np.minimum.reduceat(doc[rows][order], cut)
-            earlier = np.empty(len(rows), bool)
-            earlier[order] = np.repeat(least, np.diff(np.append(cut, len(rows)))) < doc[rows][order]
-            flags[(at[rows] + anchor[rows] - k)[earlier]] = True
-        run, a, b = covered(flags, count, columns["start"][use], window)
-        return use[run], a, b
+            some = np.flatnonzero(shared_by_documents(key, low[rows], high[rows]))
+            rows, key = rows[some], key[some]
+            # What meets by its code is compared word by word.
+            same = classes_of(key, names[(first[rows] + anchor[rows] - k)[:, None] + np.arange(window)].astype(np.uint32)) if len(rows) else rows
+            least = np.full(len(rows), np.iinfo(np.int64).max)
+            np.minimum.at(least, same, low[rows])
+            flags[(at[rows] + anchor[rows] - k)[least[same] < low[rows]]] = True
+        run, a, b = covered(flags, count, np.zeros(len(use), np.int64), window)
+        length = strings["count"].astype(np.int64) + window - 1
+        return repeated(places, owner, length, (use[run], a, b))
 
     return judge
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import BYTE_CODES, covered, dealt, keyed, mix, shared_by_documents, spans, with_spans
+from .anchors import BYTE_CODES, covered, dealt, first_equal, keyed, mix, owners, repeated, shared_by_documents, span_hashes, spans, with_spans
 from .common import concat_ranges
 
 WINDOW, GRAM = 50, 8
@@ -41,8 +41,7 @@ class ByteSymbols:
     def __call__(self, texts: list[bytes]):
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         buffer = np.frombuffer(b"".join(texts), np.uint8)
-        at = np.arange(len(buffer), dtype=np.int64)
-        return BYTE_CODES[buffer], np.cumsum(lengths) - lengths, lengths, at, at + 1, buffer
+        return lambda a, b: BYTE_CODES[buffer[a:b]], len(buffer), np.cumsum(lengths) - lengths, lengths, lambda k: k, lambda k: k + 1, buffer
 
     def segments(self, data: bytes, window: int, size: int):
         for k in range(0, max(1, len(data) - window + 1), size):
@@ -191,9 +190,12 @@ class CollectionBWT:
         the ranks: the suffix of j + 1 symbols follows from that of j.
         """
         total = self.bwt.n
-        classes, step = np.empty(total, np.int64), np.empty(total, np.int64)
+        kind = np.int32 if total < 1 << 31 else np.int64
+        classes, step = np.empty(total, kind), np.empty(total, kind)
         self.bwt.rewind()
-        counts = np.bincount(self.bwt.read(total), minlength=256)
+        counts = np.zeros(256, np.int64)
+        for _ in range(0, total, BLOCK):
+            counts += np.bincount(self.bwt.read(BLOCK), minlength=256)
         base = np.concatenate([[0, 0], np.cumsum(counts[1:])[:-1]]) + self.d
         self.bwt.rewind(), self.lcp.rewind()
         seen, name = np.zeros(256, np.int64), 0
@@ -210,7 +212,7 @@ class CollectionBWT:
             name = int(names[-1])
         many = self.lengths - fewest + 1
         ends = np.cumsum(many)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, kind)
         at = self.marks.copy()
         for j in range(int(self.lengths.max(initial=0)) + 1):
             use = (self.lengths >= j) & (fewest <= j)
@@ -244,22 +246,21 @@ def _part_hash(content: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def candidates(columns: dict[str, np.ndarray], content: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Runs that may share a window with another document.
+def candidates(strings: dict[str, np.ndarray], low: np.ndarray, high: np.ndarray, content: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Strings that may share a window with another document; their documents go from low to high.
 
     A window has at least half of its other bytes on one side of the anchor, so
     two documents that share one also share the anchor with that much to its
     left or to its right.
     """
     side = (window - gram + 1) // 2
-    doc, anchor = columns["doc"], columns["anchor"].astype(np.int64)
-    size = columns["size"].astype(np.int64)
-    alive = np.flatnonzero(shared_by_documents(_part_hash(content, offsets[:-1] + anchor, gram), doc))
-    doc, anchor, size, begin = doc[alive], anchor[alive], size[alive], offsets[alive]
+    anchor, size = strings["anchor"].astype(np.int64), strings["size"].astype(np.int64)
+    alive = np.flatnonzero(shared_by_documents(_part_hash(content, offsets[:-1] + anchor, gram), low, high))
+    low, high, anchor, size, begin = low[alive], high[alive], anchor[alive], size[alive], offsets[alive]
     use = np.zeros(len(alive), bool)
-    for has, low in ((anchor >= side, anchor - side), (size - anchor - gram >= side, anchor)):
+    for has, left in ((anchor >= side, anchor - side), (size - anchor - gram >= side, anchor)):
         some = np.flatnonzero(has)
-        use[some] |= shared_by_documents(mix(_part_hash(content, begin[some] + low[some], side + gram)), doc[some])
+        use[some] |= shared_by_documents(mix(_part_hash(content, begin[some] + left[some], side + gram)), low[some], high[some])
     return alive[use]
 
 
@@ -291,35 +292,39 @@ def judge_bytes(window: int = WINDOW, gram: int = GRAM):
     anchor on, and what the transform classifies are whole windows.
     """
 
-    def judge(columns: dict[str, np.ndarray], content: np.ndarray):
-        size = columns["size"].astype(np.int64)
+    def judge(strings: dict[str, np.ndarray], places: dict[str, np.ndarray], content: np.ndarray):
+        size = strings["size"].astype(np.int64)
         offsets = np.concatenate([[0], np.cumsum(size)])
-        use = candidates(columns, content, offsets, window, gram)
+        low, high = owners(places, len(size))
+        use = candidates(strings, low, high, content, offsets, window, gram)
         empty = np.zeros(0, np.int64)
         if not len(use):
             return empty, empty, empty
-        # Equal runs are one string, owned by the smallest of their documents.
-        number: dict[bytes, int] = {}
-        raw = content.tobytes()
-        string = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(offsets[use].tolist(), offsets[use + 1].tolist())), np.int64, len(use))
-        del raw, number
-        doc, count = columns["doc"][use], columns["count"][use].astype(np.int64)
-        one = np.unique(string, return_index=True)[1]
+        # Equal strings of several blobs are one, owned by the smallest of their documents.
+        content = content[concat_ranges(offsets[use], size[use])]
+        size, low, anchor, count = size[use], low[use], strings["anchor"][use].astype(np.int64), strings["count"][use].astype(np.int64)
+        ends = np.cumsum(size)
+        begin = ends - size
+        first = first_equal(span_hashes(lambda a, b: BYTE_CODES[content[a:b]], len(content), begin, ends), content, begin, size)
+        one, string = np.unique(first, return_inverse=True)
         owner = np.full(len(one), np.iinfo(np.int64).max)
-        np.minimum.at(owner, string, doc)
-        anchor, many, begin = columns["anchor"][use][one].astype(np.int64), count[one], offsets[use][one]
+        np.minimum.at(owner, string, low)
+        begin, size, anchor, many = begin[one], size[one], anchor[one], count[one]
         bounds = np.concatenate([[0], np.cumsum(anchor)])
-        tails = sorted_tails(content, begin + anchor, np.minimum(size[use][one] - anchor, window))
+        tails = sorted_tails(content, begin + anchor, np.minimum(size - anchor, window))
         built = CollectionBWT(content[concat_ranges(begin, anchor)], bounds, tails)
         cls = built.classes(window, anchor - many + 1)
         built.close()
-        first = np.full(int(cls.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, cls, np.repeat(owner, many))
-        first = first[cls]
-        at = np.cumsum(many) - many
-        flags = first[concat_ranges(at[string], count)] < np.repeat(doc, count)
-        run, low, high = covered(flags, count, columns["start"][use], window)
-        return use[run], low, high
+        least = np.full(int(cls.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, cls, np.repeat(owner, many))
+        found = covered(least[cls] < np.repeat(owner, many), many, np.zeros(len(one), np.int64), window)
+        # Occurrences of the strings that take part, by the string's new number.
+        number = np.full(len(strings["size"]), -1)
+        number[use] = string
+        inside = np.flatnonzero(number[places["string"]] >= 0)
+        own = {"string": number[places["string"][inside]], "doc": places["doc"][inside], "start": places["start"][inside]}
+        which, a, b = repeated(own, owner, size, found)
+        return inside[which], a, b
 
     return judge
 

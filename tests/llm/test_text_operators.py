@@ -178,6 +178,86 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def thue_morse(n, a, b):
+    text = a
+    for _ in range(n):
+        text += text.translate(str.maketrans(a + b, b + a))
+    return text
+
+
+def test_words_of_equal_code_are_told_apart(spark):
+    # The polynomial code of these two words of 1,024 characters is the same in 64 bits.
+    one, two = thue_morse(10, "a", "b"), thue_morse(10, "b", "a")
+    words = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join([*words, one])), (2, " ".join([*words, two])), (3, " ".join([*words, two, "end"])), (4, " ".join([*words, one]))]
+    got = {r["doc_id"]: sum(s["end"] - s["begin"] for s in r["spans"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13, 4: 13}
+    long = [(1, one * 3 + "x"), (2, two * 3 + "x"), (3, two * 3 + "x")]
+    want = repeats(long, 50, lambda t: t.encode())
+    for r in suffix_dedup.remove_repeats(spark.createDataFrame(long, "doc_id long, text string")).collect():
+        assert bytes(r["kept"]) == bytes(c for c, g in zip(*want[(r["doc_id"], long[r["doc_id"] - 1][1])]) if not g)
+
+
+def test_equal_pieces():
+    import numpy as np
+
+    from ecolattice.llm.anchors import first_equal
+
+    data = np.frombuffer(b"abcabdabcabdxabc", np.uint8)
+    begin, size = np.array([0, 3, 6, 9, 12, 13, 0]), np.array([3, 3, 3, 3, 1, 3, 0])
+    assert first_equal(np.zeros(7, np.int64), data, begin, size).tolist() == [0, 1, 0, 1, 4, 0, 6]
+
+
+def gone_spans(gone):
+    edges = [a != b for a, b in zip([False, *gone], [*gone, False])]
+    return sum(edges) // 2
+
+
+def test_registered_dedup_queries(spark, tmp_path):
+    """op3 and op7 as registered: every column, against all windows by brute force."""
+    from ecolattice.llm import queries
+
+    seen = set()
+    rows = [r for r in ROWS if r[0] is not None and not (r[0] in seen or seen.add(r[0]))]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    want = set()
+    for (i, _), (s, gone) in repeats(rows, 50, lambda t: (t or "").encode()).items():
+        want.add((i, len(s), sum(gone), gone_spans(gone), sha(bytes(c for c, g in zip(s, gone) if not g))))
+    assert {tuple(r) for r in queries.op3_suffix_dedup(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()} == want
+    want = set()
+    for (i, _), (s, gone) in repeats(rows, 13, lambda t: (t or "").encode().split()).items():
+        want.add((i, len(s), sum(gone), sha(b" ".join(w for w, g in zip(s, gone) if not g))))
+    assert {tuple(r) for r in queries.op7_substring_dedup(spark, str(tmp_path)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()} == want
+
+
+def test_passage_in_all_documents(spark, monkeypatch):
+    """A line that repeats in every document, in chunks of few documents: equal runs travel once, and all but the first go."""
+    from ecolattice.llm import anchors
+
+    monkeypatch.setattr(anchors, "CHUNK", 4000)
+    line = "the very same line of words stands here again and again for all to read it once more"
+    rows = [(i, "\n".join([f"head {i} {i * 7}"] + [line] * (i % 5 + 1) + [f"tail {i * 11}"])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for mod, window, split in ((suffix_dedup, 50, lambda t: t.encode()), (substring_dedup, 13, lambda t: t.encode().split())):
+        want = repeats(rows, window, split)
+        for r in mod.remove_repeats(frame).collect():
+            _, gone = want[(r["doc_id"], rows[r["doc_id"]][1])]
+            assert sum(s["end"] - s["begin"] for s in r["spans"]) == sum(gone) and len(r["spans"]) == gone_spans(gone)
+
+
+def test_without_repeats_cuts_the_text(docs):
+    seen = set()
+    rows = [r for r in ROWS if r[0] is not None and not (r[0] in seen or seen.add(r[0]))]
+    want = repeats(rows, 50, lambda t: (t or "").encode())
+    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs.sparkSession.createDataFrame([*rows, (None, rows[5][1], *rows[5][2:])], SCHEMA)).collect()}
+    for r in rows:
+        s, gone = want[(r[0], r[1])]
+        kept = None if r[1] is None else bytes(c for c, g in zip(s, gone) if not g).decode("utf-8", "ignore")
+        assert tuple(got[r[0]]) == (r[0], kept, *r[2:])
+    assert got[None]["text"] == rows[5][1]
+
+
 def test_long_text_in_segments(spark, monkeypatch):
     from ecolattice.llm import anchors
 
