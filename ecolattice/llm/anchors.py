@@ -280,7 +280,7 @@ def dealt(docs: DataFrame, symbols, window: int, gram: int) -> DataFrame:
         for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
             s = np.flatnonzero(first[a:b] == np.arange(a, b)) + a
             blobs.append(Blob.write(ids, tags, doc[a:b], start[a:b], first[a:b] - a, count[s], anchor[s], size[s], h[s] if symbols.keep_hash else None, buffer[concat_ranges(low[s], size[s])]))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         waiting: list[tuple] = []
@@ -305,8 +305,8 @@ def dealt(docs: DataFrame, symbols, window: int, gram: int) -> DataFrame:
         if waiting and (made := out()) is not None:
             yield made
 
-    # One partition for each bucket on average, as far as Spark can shuffle so many; where a partition has several, they are judged one by one.
-    return docs.select("doc_id", "text", "tag").mapInArrow(run, "bucket long, blob binary").repartition(min(buckets, PARTITIONS), "bucket")
+    # A partition for each bucket, as far as Spark can shuffle so many; where a partition has several, they are judged one by one.
+    return docs.select("doc_id", "text", "tag").mapInArrow(run, "bucket int, blob binary").repartitionById(min(buckets, PARTITIONS), F.col("bucket"))
 
 
 def shared_by_documents(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
