@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +77,30 @@ def partitions_for(df: DataFrame, mb: float) -> int:
     return max(least, int(size / (mb * 1e6)) + 1)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as a Parquet table in the shared folder and read again: for whole rows, of which later steps read some columns only."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, on whatever file system it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def broadcast_if(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The (small, checkpointed) frame marked for a broadcast if it has so many rows at most; otherwise as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def share_by_hash(df: DataFrame, most: int, *by: str) -> DataFrame:
+    """About `most` rows, chosen by a hash of the columns `by`; all if there are no more. No other rows move."""
+    n = df.count()
+    return df if n <= most else df.where(F.pmod(F.xxhash64(*by), F.lit(n)) < most)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that matter, under fixed names; others in the input cannot clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, saved, small_batches, word_blocks
+from .common import broadcast_if, id_text, saved, small_batches, word_blocks
 from .components import connected_components
 
 BITS = 64
@@ -79,8 +79,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     Every link is a pair of fingerprints within `radius` of each other; all
     linked pairs of one variant hang on the smallest representative there.
     """
-    if radius not in (1, 2):
-        raise ValueError("members of a variant's ball are all linked only up to radius 2")
+    if radius != 2:
+        raise ValueError("members of a variant's ball are all linked to each other at radius 2 only")
     balls = fps.select("rep", "fp", F.explode(_variants(radius)).alias("variant"))
     here = Window.partitionBy("variant")
     met = balls.withColumn("least", F.min(F.struct("rep", "fp")).over(here)).where(F.col("least.rep") < F.col("rep"))
@@ -109,5 +109,5 @@ def keep_one(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col:
 
     Rows with a null doc_id stay; of rows that repeat a doc_id that stays, all do.
     """
-    gone = near_duplicates(docs, radius, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = broadcast_if(saved(near_duplicates(docs, radius, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()), 1_000_000)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
