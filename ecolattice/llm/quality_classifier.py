@@ -4,7 +4,7 @@ Boosted trees on the statistics propose conjunctive rules (their paths); a
 lasso logistic regression weighs them and drops most; what is left is compiled
 to one Spark column expression. Statistics and scores are computed JVM-side in
 one pass over the texts; the driver sees the statistics of a bounded sample of
-labelled rows (`SAMPLE`) only.
+labelled rows (about `SAMPLE`) only.
 """
 
 from __future__ import annotations
@@ -15,29 +15,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, id_text, saved
+from .common import SPACE, id_text, saved, share_by_hash
 from .trees import boost, paths
 
-#: Labelled rows that the model is fitted on, at most (the first by a hash of their id).
+#: Labels that the model is fitted on, about, if there are more: those whose id's hash falls under a threshold.
 SAMPLE = 20_000
 TREES, DEPTH, MAX_RULES, PENALTIES = 40, 3, 400, (3e-2, 1e-2, 3e-3, 1e-3, 3e-4)
 
 STATISTICS = ("n_chars", "n_words", "word_length", "upper_ratio", "digit_ratio", "symbol_ratio", "shout_ratio", "punct_ratio", "space_ratio", "line_length", "distinct_words", "distinct_lines", "stop_ratio")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every whole text (null: empty); all are doubles, never null or NaN."""
+def statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the columns `more` and the statistics of every whole text (null: empty); these are doubles, never null or NaN."""
     t = F.coalesce(F.col("text"), F.lit(""))
     count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("double")
-    split = docs.select("doc_id", t.alias("t")).select("doc_id", "t", F.array_remove(F.split("t", SPACE + "+"), "").alias("words"), F.split("t", "\n").alias("lines"))
+    split = docs.select("doc_id", *more, t.alias("t")).select("doc_id", *more, "t", F.array_remove(F.split("t", SPACE + "+"), "").alias("words"), F.split("t", "\n").alias("lines"))
     counted = split.select(
-        "doc_id", F.length("t").cast("double").alias("n_chars"), F.size("words").cast("double").alias("n_words"), F.size("lines").cast("double").alias("n_lines"),
+        "doc_id", *more, F.length("t").cast("double").alias("n_chars"), F.size("words").cast("double").alias("n_words"), F.size("lines").cast("double").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("double").alias("n_distinct"), F.size(F.array_distinct("lines")).cast("double").alias("n_distinct_lines"),
         count(r"\p{Lu}").alias("upper"), count("[0-9]").alias("digits"), count(r"[#*$%&|<>_=~^{}\[\]\\]").alias("symbols"), count("[!?]").alias("shouts"), count("[.,;:]").alias("punct"), count(SPACE).alias("spaces"), count(r"[.!?](?:" + SPACE + "|$)").alias("stops"),
     )
     chars, words = F.greatest("n_chars", F.lit(1.0)), F.greatest("n_words", F.lit(1.0))
     return counted.select(
-        "doc_id", "n_chars", "n_words", ((F.col("n_chars") - F.col("spaces")) / words).alias("word_length"),
+        "doc_id", *more, "n_chars", "n_words", ((F.col("n_chars") - F.col("spaces")) / words).alias("word_length"),
         *[(F.col(a) / chars).alias(b) for a, b in (("upper", "upper_ratio"), ("digits", "digit_ratio"), ("symbols", "symbol_ratio"), ("shouts", "shout_ratio"), ("punct", "punct_ratio"), ("spaces", "space_ratio"))],
         (F.col("n_chars") / F.col("n_lines")).alias("line_length"), (F.col("n_distinct") / words).alias("distinct_words"), (F.col("n_distinct_lines") / F.col("n_lines")).alias("distinct_lines"), (F.col("stops") / words).alias("stop_ratio"),
     )
@@ -121,11 +121,17 @@ def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(True))
 
 
+def known_labels(labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """(_id, _y): about `sample` of the labels outside the held-out fold."""
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("double").alias("_y")).where("_id is not null and _y in (0, 1)")
+    return share_by_hash(known.where(~held_out("_id")).distinct(), sample, "_id")
+
+
 def train(stats: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> RuleEnsemble:
     """A model for the statistics, from labels of rows outside the held-out fold."""
-    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("double").alias("_y")).where("_id is not null and _y in (0, 1)")
-    known = known.where(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
-    rows = stats.join(known, stats.doc_id == known["_id"]).select(*STATISTICS, "_y", "_id").orderBy("_id", *STATISTICS, "_y").limit(2 * sample).toPandas()
+    rows = stats.join(known_labels(labels, label, sample), F.col("doc_id") == F.col("_id")).select(*STATISTICS, "_y", "_id").distinct()
+    # An id may have several texts.
+    rows = share_by_hash(saved(rows), 2 * sample, "_id", *STATISTICS).toPandas().sort_values(["_id", *STATISTICS, "_y"])
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["_y"].to_numpy(float))
 
 
@@ -142,9 +148,18 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the model predicts to be of quality 1; all columns stay."""
-    stats = saved(statistics(id_text(docs)))
-    model = train(stats, labels)
-    bad = stats.where(model.column() < 0.5).select(F.col("doc_id").alias("_bad")).where("_bad is not null").distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of `docs` that the model predicts to be of quality 1; all columns stay.
+
+    Each row is judged by its own text, so rows with a null or repeated id go
+    or stay like any other; a null text counts as empty. The model is fitted
+    on the texts of the sampled labels; then the rows are filtered where they are.
+    """
+    known = saved(known_labels(labels, "quality", sample))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known.select(F.col("_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    model = train(statistics(some), labels, sample=sample)
+    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("_row")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row)
+    # A column that isn't deterministic keeps the filter from being moved below the statistics, which would compute them for every rule.
+    judged = statistics(own, "_row").select("_row", model.column().alias("_p"), F.monotonically_increasing_id().alias("_n"))
+    return judged.where("_p >= 0.5 and _n >= 0").select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -95,18 +95,110 @@ def test_binomial_tail(spark):
         assert got == pytest.approx(want, rel=1e-9)
 
 
-def test_rules_against_their_sql(spark, docs, tmp_path):
+def against_sql(docs, frame, folder):
     duckdb = pytest.importorskip("duckdb")
-    labels = [(r[0], (r[0] * 7) % 2, 0) for r in ROWS if r[0] is not None][:90]
-    docs.write.parquet(str(tmp_path / "d"))
-    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    frame.write.parquet(str(tmp_path / "l"))
+    docs.write.parquet(str(folder / "d"))
+    frame.write.parquet(str(folder / "l"))
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
-    con.execute(f"create view labels as select * from '{tmp_path}/l/*.parquet'")
+    con.execute(f"create view documents as select * from '{folder}/d/*.parquet'")
+    con.execute(f"create view labels as select * from '{folder}/l/*.parquet'")
     assert Counter(con.execute(quality_rules.oracle()).fetchall()) == Counter(map(tuple, quality_rules.apply_rules(docs, frame).collect()))
 
 
+def test_rules_against_their_sql(spark, docs, tmp_path):
+    labels = [(r[0], (r[0] * 7) % 2, 0) for r in ROWS if r[0] is not None][:90]
+    against_sql(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), tmp_path)
+
+
+def counted(rnd, n, bad_share):
+    """Counts and labels of a stratum whose good documents have a few symbols and repeats by chance."""
+    rows, labels = [], []
+    for i in range(n):
+        bad = rnd.random() < bad_share
+        symbols = rnd.randint(30, 200) if bad and rnd.random() < 0.7 else rnd.choice([0] * 60 + [20])
+        repeats = rnd.randint(30, 49) if bad and rnd.random() < 0.5 else rnd.choice([0] * 60 + [12])
+        rows.append((i, "aa", 100, 500, symbols, 0, repeats, False))
+        labels.append((i, int(not bad)))
+    return rows, labels
+
+
+COUNTS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+
+
+def test_risk_holds_for_all_rules_together(spark):
+    """Cutoffs from many small holdouts, each judged on the true share of good documents that its setting rejects."""
+    risk, delta, trials = 0.03, 0.2, 40
+    rows, labels = [], []
+    for t in range(trials):
+        r, y = counted(random.Random(t), 900, 0.25)
+        rows += [(1000 * t + i, f"s{t}", *x) for i, _, *x in r]
+        labels += [(1000 * t + i, q) for i, q in y]
+    frame, known = spark.createDataFrame(rows, COUNTS).cache(), spark.createDataFrame(labels, "doc_id long, quality int").cache()
+    # Each trial on its own would be a calibration at delta; together they share it, so fewer violations still are due.
+    cutoffs = {r["stratum"]: r for r in quality_rules.calibrate(frame, known, risk=risk, delta=delta * trials).collect()}
+    assert len(cutoffs) > trials // 2
+    worse = 0
+    for c in cutoffs.values():
+        symbols = 1 / 61 if c["symbols"] is not None and c["symbols"] < 20 else 0
+        repeats = 1 / 61 if c["repeats"] is not None and c["repeats"] < 12 else 0
+        worse += 1 - (1 - symbols) * (1 - repeats) > risk
+    assert worse <= delta * trials
+
+
+def test_rules_with_settings_against_their_sql(spark, tmp_path):
+    rnd = random.Random(6)
+    words = [f"word{k}" for k in range(400)]
+    rows, labels = [], []
+    for i in range(4000):
+        bad = rnd.random() < 0.3
+        text = " ".join(rnd.choice(words) for _ in range(60))
+        if bad and rnd.random() < 0.7:
+            text += " #" * rnd.randint(3, 40)
+        if bad and rnd.random() < 0.5:
+            text += " " + " ".join(text.split()[:20])
+        rows.append((i, text, rnd.choice(["aa", "bb"])))
+        labels.append((i, int(not bad)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    cut = quality_rules.calibrate(quality_rules.saved(quality_rules.base_counts(docs)), known).collect()
+    assert {r["stratum"] for r in cut} == {"aa", "bb"} and any(sum(x is not None for x in r) >= 3 for r in cut)
+    against_sql(docs, known, tmp_path)
+
+
+def test_stages_judge_row_by_row(prose, spark):
+    """Rows with a null or repeated id go or stay by their own text; all columns stay."""
+    texts, labels, quality, _ = prose
+    rows = [(*r, f"x{k}", k) for k, r in enumerate(map(tuple, texts.collect()))]
+    good, bad = next(r for r in rows if quality[r[0]]), next(r for r in rows if not quality[r[0]])
+    odd = [(None, good[1], "aa", "o", 1), (None, bad[1], "aa", "o", 2), (good[0], bad[1], "aa", "o", 3), (bad[0], good[1], "aa", "o", 4), (7, None, None, "o", 5)]
+    frame = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, t string, n_words long")
+    kept = quality_classifier.keep_good(frame, labels)
+    assert kept.columns == frame.columns
+    assert {r["n_words"] for r in kept.where("t = 'o'").collect()} - {5} == {1, 4}
+    passed = quality_rules.keep_passing(frame, labels)
+    assert passed.columns == frame.columns and {r["n_words"] for r in passed.where("t = 'o' and n_words < 5").collect()} >= {1, 4}
+    assert passed.where("text is null").count() == 0
+    want = Counter((r["doc_id"], r["kept"]) for r in quality_rules.apply_rules(frame, labels).collect())
+    assert Counter(r["doc_id"] for r in passed.collect()) == Counter({i: n for (i, k), n in want.items() if k})
+    for stage in (quality_classifier.keep_good, quality_rules.keep_passing):
+        assert stage(frame.where("false"), labels).count() == 0 and stage(frame, labels.where("false")).columns == frame.columns
+
+
+def test_classifier_statistics(docs):
+    """The statistics recomputed in plain Python."""
+    import unicodedata
+
+    def stats(text):
+        t = text or ""
+        n, words, lines = max(1, len(t)), [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w], t.split("\n")
+        share = lambda chars: sum(c in chars for c in t)
+        spaces, w = share(" \t\n\x0b\x0c\r"), max(1, len(words))
+        stops = len(re.findall(r"[.!?](?=[\x20\x09-\x0D]|$(?![\s\S]))", t))
+        return (len(t), len(words), (len(t) - spaces) / w, sum(unicodedata.category(c) == "Lu" for c in t) / n, share("0123456789") / n, share("#*$%&|<>_=~^{}[]\\") / n, share("!?") / n, share(".,;:") / n, spaces / n, len(t) / len(lines), len(set(words)) / w, len(set(lines)) / len(lines), stops / w)
+
+    got = sorted(((r[0] is None, r[0] or 0, *[round(float(x), 9) for x in r[1:]]) for r in quality_classifier.statistics(docs).select("doc_id", *quality_classifier.STATISTICS).collect()))
+    assert got == sorted((r[0] is None, r[0] or 0, *[round(float(x), 9) for x in stats(r[1])]) for r in ROWS)
+
+
 def test_urls(spark):
     urls = ["https://Spam.NET/x", "http://a.example.net/en/1", "http://example.com/de/2?q", "https://blog.org/fr/", "no url", None, "x://", "http://net", "https://evilnet/x", "a://b?c#d", "HTTP://EXAMPLE.com:80/DE/", "http://é.É/p#?", "", "http://a.net/en/"]
     rnd = random.Random(2)
