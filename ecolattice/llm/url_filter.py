@@ -1,8 +1,10 @@
 """URL filters: explicit host and path rules, and boosted trees on lexical features for all other URLs.
 
-The URLs that a rule decides are the labelled ones. Trees are fitted on a
-bounded sample of them (`SAMPLE` rows, by hash order) in numpy on the driver;
-features and trees are Spark column expressions, so URLs are judged JVM-side.
+The URLs that a rule decides are the labelled ones. How many of a top-level
+domain or a suffix are blocked is counted over all of them and joined back.
+Trees are fitted on a bounded sample (about `SAMPLE` URLs, by a hash) in numpy
+on the driver, each without its own label in these counts; features and trees
+are Spark column expressions, so URLs are judged JVM-side.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import share_by_hash
 from .trees import Node, boost
 
-#: Labelled URLs that the trees are fitted on, at most; suffixes whose share of blocked URLs becomes a feature, at most.
-SAMPLE, SUFFIXES = 20_000, 128
+#: Labelled URLs that the trees are fitted on, about; labels that a share of blocked URLs has to begin with.
+SAMPLE, PRIOR = 20_000, 4
 ROUNDS, DEPTH = 40, 3
 
 #: (verdict, host, path prefix)
@@ -75,19 +78,13 @@ def _compiled(node: Node, names: tuple[str, ...]) -> Column:
     return F.when(F.col(names[node.feature]) <= node.cut, _compiled(node.left, names)).otherwise(_compiled(node.right, names))
 
 
-def _rates(keys: list, y: np.ndarray, prior: float) -> dict[str, float]:
-    """Smoothed share of blocked URLs by suffix, for the most frequent suffixes."""
-    found: dict[str, list[float]] = {}
-    for k, v in zip(keys, y):
-        found.setdefault(k, []).append(v)
-    most = sorted(found.items(), key=lambda kv: (-len(kv[1]), kv[0]))[:SUFFIXES]
-    return {k: (sum(v) + 4 * prior) / (len(v) + 4) for k, v in most}
-
-
-def _looked_up(key: str, rates: dict[str, float], prior: float) -> Column:
-    if not rates:
-        return F.lit(prior)
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[F.col(key)], F.lit(prior))
+def rated(df: DataFrame, prior: float, own: Column | None = None) -> DataFrame:
+    """Adds tld_blocked and suffix_blocked: smoothed shares of blocked URLs among the ruled ones (less the row's own label, if given)."""
+    less, one = (own, F.when(own.isNotNull(), 1).otherwise(0)) if own is not None else (F.lit(0), F.lit(0))
+    for key in ("tld", "suffix"):
+        counts = df.where("rule is not null").groupBy(F.col(key).alias("_key")).agg(F.count_if(F.col("ruled") == "block").alias("_blocked"), F.count("*").alias("_total"))
+        df = df.join(counts, F.col(key) == F.col("_key"), "left").withColumn(f"{key}_blocked", (F.coalesce("_blocked", F.lit(0)) - less + PRIOR * prior) / (F.coalesce("_total", F.lit(0)) - one + PRIOR)).drop("_key", "_blocked", "_total")
+    return df
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
@@ -103,18 +100,15 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).withColumns({"host": host, "path": path})
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     base = lexical(base.withColumns({"rule": rule, "ruled": verdict}))
-    plain = FEATURES[:-2]
-    rows = base.where("rule is not null").select(*plain, "tld", "suffix", (F.col("ruled") == "block").cast("double").alias("y"), F.xxhash64("url").alias("h")).orderBy("h").limit(sample).toPandas()
-    y = rows["y"].to_numpy(float)
-    prior = float(y.mean()) if len(y) else 0.0
-    if len(set(y)) > 1:
-        # The rates come from one half of the sample and the trees from the other, so a suffix can't carry its own label.
-        first = np.arange(len(y)) % 2 == 0
-        rates = {k: _rates(rows[k][first].tolist(), y[first], prior) for k in ("tld", "suffix")}
-        own = rows[~first]
-        x = np.column_stack([own[list(plain)].to_numpy(float), *([[rates[k].get(v, prior) for v in own[k]] for k in ("tld", "suffix")])])
-        start, trees = boost(x, y[~first], ROUNDS, DEPTH)
-        base = base.withColumns({"tld_blocked": _looked_up("tld", rates["tld"], prior), "suffix_blocked": _looked_up("suffix", rates["suffix"], prior)})
+    ruled = base.where("rule is not null")
+    first = ruled.agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("blocked")).first()
+    prior = first["blocked"] / first["n"] if first["n"] else 0.0
+    if 0 < prior < 1:
+        label = (F.col("ruled") == "block").cast("double")
+        some = rated(base, prior, F.when(F.col("rule").isNotNull(), label)).where("rule is not null")
+        rows = share_by_hash(some, sample, "url").select("url", *FEATURES, label.alias("y")).distinct().toPandas().sort_values(["url", *FEATURES])
+        start, trees = boost(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float), ROUNDS, DEPTH)
+        base = rated(base, prior)
         margin = F.lit(start)
         for t in trees:
             margin = margin + _compiled(t, FEATURES)
