@@ -8,23 +8,25 @@ batches of windows, and a text's windows vote with their logits.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import id_text, small_batches
 
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
-#: Labelled documents of each language that are learned from, at most, and windows of each, spread over its text.
-DOCS_PER_LANG, WINDOWS_PER_DOC, LANGS = 1000, 4, 256
+#: Labelled documents of each language that are learned from, about, and windows of each, spread over its text.
+DOCS_PER_LANG, WINDOWS_PER_DOC = 1000, 4
 EPOCHS, BATCH, RATE = 4, 64, 3e-3
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L."""
+    return any(unicodedata.category(c)[0] == "L" for c in text)
 
 
 @dataclass
@@ -140,29 +142,24 @@ def learned_from(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Colum
 def train(docs: DataFrame, seed: int = 1) -> ByteCNN | None:
     """A network for the languages of the labelled rows outside the held-out fold; None if there are none.
 
-    docs: doc_id, text, lang. At most DOCS_PER_LANG documents of each of the
-    LANGS most frequent languages, by a hash of their ids.
+    docs: doc_id, text, lang. About DOCS_PER_LANG documents of each language,
+    whose ids' hashes fall under the language's threshold; only those leave the JVM.
     """
-    spark = docs.sparkSession
     known = docs.where(learned_from()).where("lang is not null and text is not null")
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect())
+    counts = known.groupBy("lang").count()
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())
     if not langs:
         return None
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("r", first).where(F.col("r") <= DOCS_PER_LANG).select(F.col("doc_id").alias("_id")).distinct()
-    ids = {r["_id"] for r in picked.collect()}
-    chosen = spark.sparkContext.broadcast(ids)
+    picked = known.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("count")) < DOCS_PER_LANG).select("doc_id", "lang", "text").distinct()
 
     def cut(batches):
         for b in batches:
-            for i, lang, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1)):
-                if i in chosen.value:
-                    all_ = windows_of(text.as_py()).reshape(-1, WINDOW)
-                    spread = all_[np.unique(np.linspace(0, len(all_) - 1, WINDOWS_PER_DOC).astype(int))]
-                    yield pa.RecordBatch.from_pydict({"_id": [i], "lang": [lang], "w": [spread.tobytes()]})
-
-    rows = known.where(F.col("lang").isin(langs)).select("doc_id", "text", "lang").mapInArrow(cut, "_id long, lang string, w binary").orderBy("_id", "lang", "w").collect()
-    chosen.unpersist()
+            for i, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                all_ = windows_of(text.as_py()).reshape(-1, WINDOW)
+                spread = all_[np.unique(np.linspace(0, len(all_) - 1, WINDOWS_PER_DOC).astype(int))]
+                yield pa.RecordBatch.from_pydict({"_id": [i], "lang": [lang], "w": [spread.tobytes()]})
+
+    rows = sorted(picked.mapInArrow(cut, "_id long, lang string, w binary").collect(), key=lambda r: (r["_id"], r["lang"], r["w"]))
     x = [np.frombuffer(r["w"], np.uint8).reshape(-1, WINDOW) for r in rows]
     y = np.repeat([langs.index(r["lang"]) for r in rows], [len(a) for a in x])
     return ByteCNN.fresh(langs, seed).fit(np.concatenate(x), y, seed)
@@ -203,7 +200,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 text = texts[k].as_py()
                 names.append("und")
                 scores.append(0.0)
-                if net is not None and text and _LETTER.search(text):
+                if net is not None and text and has_letter(text):
                     some.append((windows_of(text), k))
                     size += len(some[-1][0])
                     if size > 1 << 20:
