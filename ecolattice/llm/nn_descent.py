@@ -26,7 +26,7 @@ from .common import release, saved
 #: Neighbours a node keeps, reverse neighbours it hears, and introductions of each neighbour in a round.
 NEIGHBOURS, REVERSE, INTRODUCED = 40, 40, 10
 #: Hyperplane tables of the first graph, vectors of a block on average and at most.
-TABLES, BLOCK, BLOCK_MAX = 6, 3000, 4096
+TABLES, BLOCK, BLOCK_MAX = 6, 150, 300
 #: Introductions that a task gathers by node before it hands them on (12 bytes each).
 INTRODUCTIONS = 4_000_000
 #: Nodes of a partition in the search.
