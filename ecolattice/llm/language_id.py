@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, small_batches
+from .common import broadcast_if, id_text, saved, small_batches
 
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
 #: Labelled documents of each language that are learned from, about, and windows of each, spread over its text.
@@ -146,11 +146,11 @@ def train(docs: DataFrame, seed: int = 1) -> ByteCNN | None:
     whose ids' hashes fall under the language's threshold; only those leave the JVM.
     """
     known = docs.where(learned_from()).where("lang is not null and text is not null")
-    counts = known.groupBy("lang").count()
+    counts = saved(known.groupBy("lang").count())
     langs = sorted(r["lang"] for r in counts.select("lang").collect())
     if not langs:
         return None
-    picked = known.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("count")) < DOCS_PER_LANG).select("doc_id", "lang", "text").distinct()
+    picked = known.join(broadcast_if(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("count")) < DOCS_PER_LANG).select("doc_id", "lang", "text").distinct()
 
     def cut(batches):
         for b in batches:

@@ -106,7 +106,7 @@ def calibrate(counts: DataFrame, labels: DataFrame, label: str = "quality", risk
     plan = saved(ranked.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col(c))).alias(f"{r}_{n}") for r in GRID for c, n in (("best.at", "at"), ("rank", "rank"))]))
     looked_up = lambda r, more: F.get(F.array(*[F.lit(float(c)) for c in GRID[r]]), F.col(f"{r}_at") + more)
     fields = plan.columns
-    held = rows.where("not proposes").join(plan.withColumnRenamed("stratum", "_s"), F.col("stratum") == F.col("_s"))
+    held = rows.where("not proposes").join(broadcast_if(plan).withColumnRenamed("stratum", "_s"), F.col("stratum") == F.col("_s"))
     # The first rule, in the stratum's order, that rejects the row; a setting of so many rules does or doesn't reach it.
     reached = {more: F.least(F.lit(len(GRID) + 1), *[F.when(F.col(r) > looked_up(r, more), F.col(f"{r}_rank")) for r in GRID]) for more in LOOSER}
     held = held.select(*fields, "y", *[c.alias(f"reached_{more}") for more, c in reached.items()])
