@@ -75,7 +75,13 @@ def build_matrix(
             own = F.when(F.col("category") == "array", chosen).otherwise(drawn)
             value = F.when(F.col("pkg_ord") == k, own) if value is None else value.when(F.col("pkg_ord") == k, own)
     signed = rows.select(*keys, "pkg_ord", "group_ord", "sum_intra", "sum_inter", F.when(F.col("flip"), -value).otherwise(value).alias("amount"))
-    groups = signed.groupBy(*keys, "pkg_ord", "group_ord").agg(F.when(F.first("sum_intra"), F.sum("amount")).otherwise(F.last("amount")).alias("amount"), F.first("sum_inter").alias("sum_inter"))
+    by = [*keys, "pkg_ord", "group_ord"]
+    if all(p.sum_intra_duplicates for p in packages):
+        groups = signed.groupBy(*by).agg(F.sum("amount").alias("amount"), F.first("sum_inter").alias("sum_inter"))
+    else:
+        # Of duplicates that are not added up the last row counts, in the order of the frame.
+        placed = signed.withColumn("place", F.monotonically_increasing_id())
+        groups = placed.groupBy(*by).agg(F.when(F.first("sum_intra"), F.sum("amount")).otherwise(F.max_by("amount", "place")).alias("amount"), F.first("sum_inter").alias("sum_inter"))
     order = F.struct("pkg_ord", "group_ord")
     if any(p.sum_inter_duplicates for p in packages):
         merged = groups.groupBy(*keys).agg(F.max_by("sum_inter", order).alias("add"), F.sum("amount").alias("total"), F.max_by("amount", order).alias("last"))

@@ -185,10 +185,10 @@ def supply_iterative(spark, sf):
 
 @_query(XS)
 def supply_dense(spark, sf):
-    return _supply(spark, sf, "auto" if d.read(spark, sf, "part").count() > 3000 else "dense")
+    return _supply(spark, sf, "dense")
 
 
-@_query()
+@_query(XS)
 def supply_least_squares(spark, sf):
     return _supply(spark, sf, "least_squares")
 
