@@ -84,6 +84,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Writes a table that is made anew in every round, and drops the one before.
+
+    A checkpoint carries the planner's estimate of its size on, and a cogroup's
+    is the product of its sides': fed back round by round, it soon has millions
+    of digits. Files have sizes of their own.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.round = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.round}"
+        df.write.parquet(path)
+        if self.round:
+            remove(self.spark, f"{self.folder}/{self.round - 1}")
+        self.round += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, on whatever file system it is."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import release, saved
+from .common import Rounds, release, saved
 
 #: Neighbours a node keeps, reverse neighbours it hears, and introductions of each neighbour in a round.
 NEIGHBOURS, REVERSE, INTRODUCED = 40, 40, 10
@@ -307,11 +307,12 @@ def _coded(batches):
 
 
 def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, reverse: int = REVERSE, introduced: int = INTRODUCED, seed: int = 1) -> DataFrame:
-    """(node, near): the neighbour graph over nodes (node, x), descended until fewer than STILL of the neighbours change; checkpointed."""
-    graph = saved(merge(first_graph(nodes, k, seed=seed).withColumn("old", F.lit(False)), k))
+    """(node, near): the neighbour graph over nodes (node, x), descended until fewer than STILL of the neighbours change; written to the shared folder."""
+    kept = Rounds(nodes.sparkSession, "graph")
+    graph = kept(merge(first_graph(nodes, k, seed=seed).withColumn("old", F.lit(False)), k))
     codes = saved(nodes.select("node", "x").mapInArrow(_coded, "member long, x binary"))
     for _ in range(MOST_ROUNDS):
-        graph = saved(descend(graph, codes, k, reverse, introduced))
+        graph = kept(descend(graph, codes, k, reverse, introduced))
         release(nodes.sparkSession)
         share = graph.agg(F.sum("changed") / F.sum(F.length("near") / NEAR.itemsize)).first()[0]
         if share is None or share < STILL:
@@ -359,7 +360,8 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(blob, pa.binary())], ["query_id", "x", "beam"])
 
     started = queries.join(nodes.select("node", "x"), "node").select("query_id", "node", "x").mapInArrow(begin, "query_id long, x binary, beam binary")
-    state = saved(started.select(part("query_id").alias("part"), "query_id", "x", "beam", F.lit(1).alias("open")))
+    kept = Rounds(nodes.sparkSession, "beams")
+    state = kept(started.select(part("query_id").alias("part"), "query_id", "x", "beam", F.lit(1).alias("open")))
 
     def opened(beam_: bytes):
         n = len(beam_) // 13
@@ -434,7 +436,7 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam:
         wanted = _together(state, lists, ask, "query_id long, x binary, ids array<long>")
         requests = wanted.select("query_id", "x", F.explode("ids").alias("id")).groupBy(part("id").alias("part"), "query_id").agg(F.first("x").alias("x"), F.collect_list("id").alias("ids"))
         scored = _together(requests, vectors, score, "query_id long, near binary").select(part("query_id").alias("part"), "query_id", "near")
-        state = saved(_together(state, scored, update, "part int, query_id long, x binary, beam binary, open int"))
+        state = kept(_together(state, scored, update, "part int, query_id long, x binary, beam binary, open int"))
         release(nodes.sparkSession)
         if state.where("open > 0").isEmpty():
             break

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ecolattice.llm import nn_descent
+from ecolattice.llm.common import Rounds
 
 
 def test_search_walks_to_the_end_of_a_chain(spark):
@@ -15,6 +16,16 @@ def test_search_walks_to_the_end_of_a_chain(spark):
     assert n - 1 in {r["node"] for r in found}
 
 
+def test_size_estimates_do_not_grow_with_the_rounds(spark):
+    kept, sizes = Rounds(spark, "test"), []
+    state = kept(spark.range(20).selectExpr("id % 4 as part", "id"))
+    for _ in range(4):
+        state = kept(nn_descent._together(state, state, lambda a, b: a, "part long, id long"))
+        sizes.append(int(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert state.count() == 20
+    assert max(sizes) < 1_000_000
+
+
 def test_rounds_go_on_while_neighbours_change(spark, monkeypatch):
     rounds = []
 
