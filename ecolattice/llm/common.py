@@ -103,6 +103,10 @@ class Rounds:
         self.round += 1
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self) -> None:
+        """Deletes what is left; no frame that reads it may be used any more."""
+        remove(self.spark, self.folder)
+
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder, on whatever file system it is."""

@@ -11,10 +11,14 @@ that fall on it, differs in no more bits than the sets in shingles; so pairs
 whose fingerprints differ in too many bits are left out without loss. What is
 left is held against each other by the exact sets.
 
-Sets that share a shingle first meet one of them, round by round another one,
-and are of one component if they are similar. A pair within a component is
-never looked at again. Only when that no longer joins much, the pairs between
-components are listed, those whose fingerprints allow it.
+Most near copies differ little, so SimHash with ball hashing (simhash.py) comes
+first: sets whose 64-bit fingerprints differ in two bits at most are held
+against each other, and the similar ones are of one component. What is left
+goes through the prefix filter. Sets that share a shingle first meet one of
+them, round by round another one, and are of one component if they are
+similar. A pair within a component is never looked at again. Only when that no
+longer joins much, the pairs between components are listed, those whose
+fingerprints allow it.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import simhash
 from .common import Rounds, broadcast_if, id_text, release, saved, small_batches, stored, word_blocks
 from .components import connected_components
 
@@ -32,6 +37,8 @@ from .components import connected_components
 WIDTH, ALIKE = 5, (4, 5)
 #: Documents of the sample that settles the order, how often a shingle is in it to come late, and shingles known to be frequent.
 SAMPLE, FREQUENT, KNOWN = 5_000, 4, 200_000
+#: Sets up to which their sizes and fingerprints (48 bytes each) are broadcast.
+SMALL = 300_000
 #: Columns of a set's fingerprint, and pairs for each row under which pairs are listed without another round.
 BITS, FEW = ("b0", "b1", "b2", "b3"), 2
 #: Shingles of a set by which a pair is known to be listed elsewhere.
@@ -90,13 +97,13 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, node (name of the shingle set), n (its size), prefix (the shingles that the filter needs) and BITS (its fingerprint) of every row."""
+    """doc_id, node (name of the shingle set), n (its size), prefix (the shingles that the filter needs), BITS (its fingerprint) and fp (its SimHash) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def run(batches):
         names, times = shared.value
         for b in batches:
-            nodes, sizes, prefixes, bits = [], [], [], []
+            nodes, sizes, prefixes, bits, fps = [], [], [], [], []
             for text in b.column(1):
                 h = shingles(text.as_py())
                 n = len(h)
@@ -107,10 +114,11 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 nodes.append(_name(h))
                 sizes.append(n)
                 bits.append(_sketch(h))
+                fps.append(simhash.majority(simhash.ones(h), n))
                 prefixes.append(h[np.lexsort((h, rank))][: n - _least(n, int.__floordiv__) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *[pa.array([b[k] for b in bits], pa.int64()) for k in range(4)]], ["doc_id", "node", "n", "prefix", *BITS])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *[pa.array([b[k] for b in bits], pa.int64()) for k in range(4)], pa.array(fps, pa.int64())], ["doc_id", "node", "n", "prefix", *BITS, "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS))
+    return docs.mapInArrow(run, "doc_id long, node long, n long, prefix array<long>, " + ", ".join(f"{b} long" for b in (*BITS, "fp")))
 
 
 def _alike(u: str, v: str) -> Column:
@@ -121,6 +129,20 @@ def _alike(u: str, v: str) -> Column:
     return (F.least(n, m) * b >= F.greatest(n, m) * a) & (differ * (a + b) <= (n + m) * (b - a))
 
 
+def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sizes and fingerprints allow the similarity."""
+    mark = broadcast_if(sets.select("node", F.struct("n", *BITS).alias("mark")), SMALL)
+    of = lambda end, name: mark.select(F.col("node").alias(end), F.col("mark").alias(name))
+    return pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").where(_alike("a", "b")).select("u", "v")
+
+
+def _balls(sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets with one SimHash, or with SimHashes in one ball of ball hashing; they join what all such pairs join."""
+    reps = sets.groupBy("fp").agg(F.min("node").alias("rep"))
+    same = sets.select("node", "fp").join(reps, "fp").where("rep < node").select(F.col("rep").alias("u"), F.col("node").alias("v"))
+    return simhash.links(reps).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).unionByName(same)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (u, v) whose shingle sets are similar indeed."""
     pairs = saved(pairs)
@@ -143,9 +165,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     release(docs.sparkSession)
-    known = stored(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "node long, h binary"), "sets")
+    files = Rounds(docs.sparkSession, "shingles")
+    known = files(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "node long, h binary"))
     both = pairs.join(known.select(F.col("node").alias("u"), F.col("h").alias("hu")), "u").join(known.select(F.col("node").alias("v"), F.col("h").alias("hv")), "v")
     found = saved(both.select("u", "v", "hu", "hv").mapInArrow(check, "u long, v long").distinct())
+    files.drop()
     release(docs.sparkSession)
     return found
 
@@ -155,57 +179,58 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts without a word are copies of each other.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = id_text(docs, id_col, text_col).where("doc_id is not null")
     # Files, unlike checkpoints, are packed and read by column, and those of a round go with the next.
-    each = stored(_prefixes(docs), "prefixes")
+    files, kept, here = Rounds(spark, "prefixes"), Rounds(spark, "shared"), Window.partitionBy("s")
+    whole = files(_prefixes(docs))
+    each = stored(whole.select("doc_id", "node"), "nodes")
     reps = each.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    here = Window.partitionBy("s")
-    sets = each.dropDuplicates(["node"]).withColumn("least", F.slice(F.sort_array("prefix"), 1, LEAST))
-    shared = sets.select("node", F.explode("prefix").alias("s")).withColumn("low", F.min("node").over(here)).withColumn("high", F.max("node").over(here))
-    kept = Rounds(docs.sparkSession, "shared")
-    shared = kept(shared.where("low < high").select("s", "node"))
-    release(docs.sparkSession)
-    met = shared.join(sets.select("node", F.struct("node", "n", *BITS).alias("u")), "node").select("s", "u", F.col("node").alias("c"))
-    links, classes, turn, before = None, None, 0, None
+    sets = stored(whole.select("node", "n", *BITS, "fp", F.slice(F.sort_array("prefix"), 1, LEAST).alias("least")).dropDuplicates(["node"]), "sets")
+    release(spark)
+    shared = whole.select("node", "prefix").dropDuplicates(["node"]).select("node", F.explode("prefix").alias("s"))
+    met = kept(shared.withColumn("low", F.min("node").over(here)).withColumn("high", F.max("node").over(here)).where("low < high").select("s", "node"))
+    files.drop()
+    release(spark)
+    links = _verified(_allowed(_balls(sets), sets).distinct(), docs, reps)
+    turn, before = 0, None
     while True:
-        if classes is not None:
-            met = met.join(classes, F.col("u.node") == F.col("node"), "left").select("s", "u", F.coalesce("component", "u.node").alias("c"))
-            # Only shingles that different components share go on; at first each set is one, and `shared` has seen to it.
-            met = met.withColumn("low", F.min("c").over(here)).withColumn("high", F.max("c").over(here)).where("low < high").select("s", "u", "c")
-        met = kept(met)
-        release(docs.sparkSession)
+        # Rows are a shingle and a set; sizes and fingerprints join the pairs only. Up to a million classes (16 bytes each) are broadcast.
+        classes = broadcast_if(saved(connected_components(links)), 1_000_000)
+        met = met.join(classes, "node", "left").select("s", "node", F.coalesce("component", "node").alias("c"))
+        # Only shingles that different components share go on.
+        met = kept(met.withColumn("low", F.min("c").over(here)).withColumn("high", F.max("c").over(here)).where("low < high").select("s", "node", "c"))
+        release(spark)
         groups = met.groupBy("s").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * F.col("count")).alias("pairs")).first()
         if not groups["rows"]:
             break
-        if groups["pairs"] <= FEW * groups["rows"] or (before is not None and groups["rows"] > 0.7 * before):
+        if groups["pairs"] <= FEW * groups["rows"]:
+            other = met.select("s", F.col("node").alias("v"), F.col("c").alias("d"))
+            pairs = met.withColumnRenamed("node", "u").join(other, "s").where("u < v and c <> d").select("u", "v")
+            links = links.unionByName(_verified(_allowed(pairs.distinct(), sets), docs, reps))
+            break
+        if before is not None and groups["rows"] > 0.7 * before:
             # A pair is listed at the least shingle that both have among their LEAST least ones; at all they share only if there is none.
-            own = met.withColumn("node", F.col("u.node")).join(sets.select("node", "least"), "node").select("s", "u", "c", "least")
+            own = met.join(sets.select("node", F.struct("node", "n", *BITS).alias("u"), "least"), "node").select("s", "u", "c", "least")
             left, right = own, own.select("s", F.col("u").alias("v"), F.col("c").alias("d"), F.col("least").alias("other"))
             once = F.coalesce(F.array_min(F.array_intersect("least", "other")) >= F.col("s"), F.lit(True))
             pairs = left.join(right, "s").where((F.col("u.node") < F.col("v.node")) & (F.col("c") != F.col("d")) & _alike("u", "v") & once)
-            links = _together(links, _verified(pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct(), docs, reps))
+            links = links.unionByName(_verified(pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct(), docs, reps))
             break
         # One set of each shingle, settled by a hash, meets all others there, and leaves.
-        order = F.struct(F.xxhash64("u.node", F.lit(turn)).alias("h"), F.col("u").alias("v"), F.col("c").alias("d"))
-        chosen = met.withColumn("one", F.min(order).over(here)).withColumn("v", F.col("one.v"))
-        pairs = chosen.where((F.col("c") != F.col("one.d")) & _alike("u", "v")).select(F.least("u.node", "v.node").alias("u"), F.greatest("u.node", "v.node").alias("v")).distinct()
-        links = _together(links, _verified(pairs, docs, reps))
-        met = chosen.where("u.node <> v.node").select("s", "u", "c")
-        classes = connected_components(links)
+        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("v"), F.col("c").alias("d"))
+        chosen = met.withColumn("one", F.min(order).over(here))
+        pairs = chosen.where("c <> one.d").select(F.least("node", "one.v").alias("u"), F.greatest("node", "one.v").alias("v")).distinct()
+        links = links.unionByName(_verified(_allowed(pairs, sets), docs, reps))
+        met = chosen.where("node <> one.v").select("s", "node")
         before, turn = groups["rows"], turn + 1
-    if links is None:
-        of = each.select("doc_id", F.col("node").alias("component"))
-    else:
-        of = each.select("doc_id", "node").join(connected_components(links), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    kept.drop()
+    of = each.select("doc_id", "node").join(connected_components(links), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return of.join(least, "component").select("doc_id", "component_id")
 
 
-def _together(links: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if links is None else links.unionByName(more)
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose doc_id names their component; null ids stay, and all rows that repeat a doc_id that stays."""
     gone = broadcast_if(saved(near_copies(docs, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()), 1_000_000)

@@ -27,11 +27,25 @@ BITS = 64
 _WEIGHTS = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
 
 
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set."""
+    out = np.zeros(BITS, np.int64)
+    for k in range(0, len(hashes), 1 << 16):
+        part = hashes[k : k + (1 << 16)]
+        out += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return out
+
+
+def majority(set_bits: np.ndarray, n: int) -> int:
+    """The bits that are set in over half of n hashes, as a signed 64-bit integer."""
+    return int(_WEIGHTS[2 * set_bits > n].sum(dtype=np.uint64).astype(np.int64))
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """The SimHash of a text's word shingles as a signed 64-bit integer; zero if it has no word."""
     from xxhash import xxh64_intdigest
 
-    ones, n, tail, short = np.zeros(BITS, np.int64), 0, [], None
+    set_bits, n, tail, short = np.zeros(BITS, np.int64), 0, [], None
     for block in word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
         words = tail + block
         tail = words[-(width - 1) :] if width > 1 else []
@@ -40,15 +54,13 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
             continue
         grams = map(b" ".join, zip(*(words[k:] for k in range(width))))
         h = np.fromiter((xxh64_intdigest(g, seed) for g in grams), np.uint64, len(words) - width + 1)
-        for k in range(0, len(h), 1 << 16):
-            part = h[k : k + (1 << 16)]
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        set_bits += ones(h)
         n += len(h)
     if not n:
         if not short:
             return 0
         return int(np.uint64(xxh64_intdigest(b" ".join(short), seed)).astype(np.int64))
-    return int(_WEIGHTS[2 * ones > n].sum(dtype=np.uint64).astype(np.int64))
+    return majority(set_bits, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:

@@ -75,3 +75,16 @@ def test_awkward_rows(spark):
     assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == set(want.values())
     assert sum(r["doc_id"] is None for r in kept) == 2
     assert near_copies.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_simhash_balls_come_first_and_files_go(spark, monkeypatch):
+    rows, seen = corpus(), []
+    links, verified = near_copies.simhash.links, near_copies._verified
+    monkeypatch.setattr(near_copies.simhash, "links", lambda fps, **o: seen.append("balls") or links(fps, **o))
+    monkeypatch.setattr(near_copies, "_verified", lambda *a: seen.append("verified") or verified(*a))
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    want = brute(rows)
+    found = near_copies.near_copies(spark.createDataFrame(rows, SIMPLE)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == want and seen[:2] == ["balls", "verified"]
+    left = {f.split("-")[0] for f in set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before}
+    assert not left & {"prefixes", "shared", "shingles"}
