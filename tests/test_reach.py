@@ -67,3 +67,39 @@ def test_cgs_reaches_a_narrow_goal():
     f[np.searchsorted(s.rows, 899)] = 1e6
     x, good = numeric.cgs(s.times, f, rtol=1e-12)
     assert good and np.linalg.norm(s.times(x) - f) <= 1e-10 * 1e6
+
+
+def test_draws_of_the_reach_only(spark, monkeypatch):
+    from fixtures import U
+
+    from ecolattice.plans.lca import LCA
+    from ecolattice.schema import BIOSPHERE, CHARACTERIZATION, TECHNOSPHERE
+    from ecolattice.sources.packages import PackageBuilder
+
+    b = PackageBuilder(spark, "two chains", seed=5)
+    b.vector(TECHNOSPHERE, [(1, 101), (2, 102), (2, 101), (3, 103), (4, 104), (4, 103)], [1, 1, 0.5, 1, 1, 0.5], [False, False, True] * 2, [None, None, U(0.2, 0.8)] * 2)
+    b.vector(BIOSPHERE, [(7, 101), (7, 102), (7, 103), (8, 104)], [1, 2, 3, 4], distributions=[U(0.5, 1.5)] * 4)
+    b.vector(CHARACTERIZATION, [(7, 0), (8, 0)], [1, 10], global_index=0)
+    lca = LCA({1: 2}, [b.build()], solver="acyclic", use_distributions=True)
+    for m in lca._lci_matrices(range(4)):
+        assert {(r["iteration"], r["col_id"]) for r in m.collect()} == {(i, c) for i in range(4) for c in (101, 102)}
+    scores = lambda: {r["iteration"]: r["score"] for r in lca.run(4).collect()}
+    found = scores()
+    monkeypatch.setattr(LCA, "_reached", lambda self: self.packages)
+    assert found == pytest.approx(scores()) and len(set(found.values())) == 4
+
+
+def test_uncertain_makers_keep_the_whole_system(spark):
+    from fixtures import U
+
+    from ecolattice.operators.matrix import exchanges
+    from ecolattice.schema import TECHNOSPHERE
+    from ecolattice.sources.packages import PackageBuilder
+
+    def makers(low):
+        b = PackageBuilder(spark, "signs")
+        b.vector(TECHNOSPHERE, [(1, 11), (2, 12), (2, 11)], [1, 1, 0.5], [False, False, True], [None, None, U(low, 0.8)])
+        return solve.sure_makers(exchanges([b.build()], TECHNOSPHERE), True)
+
+    assert sorted(map(tuple, makers(0.2).collect())) == [(1, 11), (2, 12)]
+    assert makers(-0.2) is None
