@@ -8,8 +8,11 @@ that similarity share one of their first n - ceil(0.8 n) + 1 shingles. Shingles
 that a sample finds frequent come last in the order; that saves candidates and
 never loses any. A fingerprint of 256 bits, each the parity of the shingles
 that fall on it, differs in no more bits than the sets in shingles; so pairs
-whose fingerprints differ in too many bits are left out without loss. What is
-left is held against each other by the exact sets.
+whose fingerprints differ in too many bits are left out without loss. Large
+sets have a second one with a bit for each shingle at least, since 256 bits
+tell nothing there. What is left is held against each other by the exact sets;
+texts travel compressed, and first one pair of each set only: most others are
+of one component then.
 
 Most near copies differ little, so SimHash with ball hashing (simhash.py) comes
 first: sets whose 64-bit fingerprints differ in two bits at most are held
@@ -23,6 +26,8 @@ fingerprints allow it.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,8 +46,8 @@ SAMPLE, FREQUENT, KNOWN = 5_000, 4, 200_000
 SMALL = 300_000
 #: Columns of a set's fingerprint, and pairs for each row under which pairs are listed without another round.
 BITS, FEW = ("b0", "b1", "b2", "b3"), 2
-#: Shingles of a set by which a pair is known to be listed elsewhere.
-LEAST = 8
+#: Shingles of a set by which a pair is known to be listed elsewhere, and sets up to this size that need no second fingerprint.
+LEAST, NARROW = 8, 256
 
 
 def shingles(text: str | None, width: int = WIDTH, seed: int = 42) -> np.ndarray:
@@ -75,6 +80,23 @@ def _sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _wide(hashes: np.ndarray) -> bytes | None:
+    """The parities of a set over NARROW shingles in as many ways as the next power of two; None of others."""
+    n = len(hashes)
+    if n <= NARROW:
+        return None
+    bits = 1 << (n - 1).bit_length()
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _wide_differ(x: bytes, y: bytes) -> int:
+    """In how many bits two such fingerprints differ, by the shorter one's ways (halves of the longer one are folded)."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _least(n, whole):
     """ceil(n * similarity), by the integer division `whole`."""
     return whole(n * ALIKE[0] + ALIKE[1] - 1, ALIKE[1])
@@ -97,13 +119,13 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """doc_id, node (name of the shingle set), n (its size), prefix (the shingles that the filter needs), BITS (its fingerprint) and fp (its SimHash) of every row."""
+    """doc_id, node (name of the shingle set), n (its size), prefix (the shingles that the filter needs), BITS and wide (its fingerprints) and fp (its SimHash) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
 
     def run(batches):
         names, times = shared.value
         for b in batches:
-            nodes, sizes, prefixes, bits, fps = [], [], [], [], []
+            nodes, sizes, prefixes, bits, fps, wides = [], [], [], [], [], []
             for text in b.column(1):
                 h = shingles(text.as_py())
                 n = len(h)
@@ -115,10 +137,11 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 sizes.append(n)
                 bits.append(_sketch(h))
                 fps.append(simhash.majority(simhash.ones(h), n))
+                wides.append(_wide(h))
                 prefixes.append(h[np.lexsort((h, rank))][: n - _least(n, int.__floordiv__) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *[pa.array([b[k] for b in bits], pa.int64()) for k in range(4)], pa.array(fps, pa.int64())], ["doc_id", "node", "n", "prefix", *BITS, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), *[pa.array([b[k] for b in bits], pa.int64()) for k in range(4)], pa.array(fps, pa.int64()), pa.array(wides, pa.binary())], ["doc_id", "node", "n", "prefix", *BITS, "fp", "wide"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, prefix array<long>, " + ", ".join(f"{b} long" for b in (*BITS, "fp")))
+    return docs.mapInArrow(run, "doc_id long, node long, n long, prefix array<long>, " + ", ".join(f"{b} long" for b in (*BITS, "fp")) + ", wide binary")
 
 
 def _alike(u: str, v: str) -> Column:
@@ -143,32 +166,70 @@ def _balls(sets: DataFrame) -> DataFrame:
     return simhash.links(reps).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).unionByName(same)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are similar indeed."""
-    pairs = saved(pairs)
+def _sharp(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose second fingerprints, where both have one, allow the similarity."""
+    mark = sets.where("wide is not null").select("node", F.struct("n", "wide").alias("mark"))
+    of = lambda end, name: mark.select(F.col("node").alias(end), F.col("mark").alias(name))
+
+    def check(batches):
+        a, b = ALIKE
+        for batch in batches:
+            n, m, x, y = ([v.as_py() for v in column] for column in batch.columns[2:])
+            keep = [p is None or q is None or _wide_differ(p, q) * (a + b) <= (i + j) * (b - a) for i, j, p, q in zip(n, m, x, y)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(of("u", "a"), "u", "left").join(of("v", "b"), "v", "left")
+    return both.select("u", "v", "a.n", F.col("b.n").alias("m"), "a.wide", F.col("b.wide").alias("other")).mapInArrow(check, "u long, v long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) whose shingle sets are similar indeed, except some that the others join anyway."""
+    pairs = saved(_sharp(pairs, sets).distinct())
+    release(docs.sparkSession)
+    one = saved(pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    links = _similar(one, docs, reps)
+    classes = broadcast_if(saved(connected_components(links)), 1_000_000)
+    of = lambda end, name: classes.select(F.col("node").alias(end), F.col("component").alias(name))
+    rest = pairs.join(one, ["u", "v"], "left_anti").join(of("u", "c"), "u", "left").join(of("v", "d"), "v", "left")
+    rest = saved(rest.where(F.coalesce("c", "u") != F.coalesce("d", "v")).select("u", "v"))
+    return links if rest.isEmpty() else links.unionByName(_similar(rest, docs, reps))
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The (checkpointed) pairs (u, v) whose shingle sets are similar indeed."""
     ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     # Ids are eight bytes each; up to a million of them are broadcast, so the texts stay where they are.
     ids = broadcast_if(saved(ends.join(reps, "node").select(F.col("rep").alias("doc_id")).distinct()), 1_000_000)
 
-    def sets(batches):
+    def texts(batches):
         for b in batches:
-            found = [shingles(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(h) for h in found], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], ["node", "h"])
+            found = [t.as_py() or "" for t in b.column(1)]
+            packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(shingles(t)) for t in found], pa.int64()), pa.array(packed, pa.binary())], ["node", "z"])
 
     def check(batches):
+        held: dict[int, np.ndarray] = {}
+
+        def hashes(node, z):
+            if node not in held:
+                if len(held) >= 16:
+                    held.clear()
+                held[node] = shingles(zlib.decompress(z.as_buffer()).decode("utf-8", "surrogatepass"))
+            return held[node]
+
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                h, g = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for u, v, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                h, g = hashes(u, x), hashes(v, y)
                 both = len(np.intersect1d(h, g, assume_unique=True))
                 keep.append(both * ALIKE[1] >= (len(h) + len(g) - both) * ALIKE[0])
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     release(docs.sparkSession)
     files = Rounds(docs.sparkSession, "shingles")
-    known = files(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "node long, h binary"))
-    both = pairs.join(known.select(F.col("node").alias("u"), F.col("h").alias("hu")), "u").join(known.select(F.col("node").alias("v"), F.col("h").alias("hv")), "v")
-    found = saved(both.select("u", "v", "hu", "hv").mapInArrow(check, "u long, v long").distinct())
+    known = files(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(texts, "node long, z binary"))
+    both = pairs.join(known.select(F.col("node").alias("u"), F.col("z").alias("zu")), "u").join(known.select(F.col("node").alias("v"), F.col("z").alias("zv")), "v")
+    found = saved(both.select("u", "v", "zu", "zv").mapInArrow(check, "u long, v long").distinct())
     files.drop()
     release(docs.sparkSession)
     return found
@@ -187,13 +248,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = files(_prefixes(docs))
     each = stored(whole.select("doc_id", "node"), "nodes")
     reps = each.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    sets = stored(whole.select("node", "n", *BITS, "fp", F.slice(F.sort_array("prefix"), 1, LEAST).alias("least")).dropDuplicates(["node"]), "sets")
+    sets = stored(whole.select("node", "n", *BITS, "fp", "wide", F.slice(F.sort_array("prefix"), 1, LEAST).alias("least")).dropDuplicates(["node"]), "sets")
     release(spark)
     shared = whole.select("node", "prefix").dropDuplicates(["node"]).select("node", F.explode("prefix").alias("s"))
     met = kept(shared.withColumn("low", F.min("node").over(here)).withColumn("high", F.max("node").over(here)).where("low < high").select("s", "node"))
     files.drop()
     release(spark)
-    links = _verified(_allowed(_balls(sets), sets).distinct(), docs, reps)
+    links = _verified(_allowed(_balls(sets), sets).distinct(), sets, docs, reps)
     turn, before = 0, None
     while True:
         # Rows are a shingle and a set; sizes and fingerprints join the pairs only. Up to a million classes (16 bytes each) are broadcast.
@@ -208,7 +269,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if groups["pairs"] <= FEW * groups["rows"]:
             other = met.select("s", F.col("node").alias("v"), F.col("c").alias("d"))
             pairs = met.withColumnRenamed("node", "u").join(other, "s").where("u < v and c <> d").select("u", "v")
-            links = links.unionByName(_verified(_allowed(pairs.distinct(), sets), docs, reps))
+            links = links.unionByName(_verified(_allowed(pairs.distinct(), sets), sets, docs, reps))
             break
         if before is not None and groups["rows"] > 0.7 * before:
             # A pair is listed at the least shingle that both have among their LEAST least ones; at all they share only if there is none.
@@ -216,13 +277,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             left, right = own, own.select("s", F.col("u").alias("v"), F.col("c").alias("d"), F.col("least").alias("other"))
             once = F.coalesce(F.array_min(F.array_intersect("least", "other")) >= F.col("s"), F.lit(True))
             pairs = left.join(right, "s").where((F.col("u.node") < F.col("v.node")) & (F.col("c") != F.col("d")) & _alike("u", "v") & once)
-            links = links.unionByName(_verified(pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct(), docs, reps))
+            links = links.unionByName(_verified(pairs.select(F.col("u.node").alias("u"), F.col("v.node").alias("v")).distinct(), sets, docs, reps))
             break
         # One set of each shingle, settled by a hash, meets all others there, and leaves.
         order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("v"), F.col("c").alias("d"))
         chosen = met.withColumn("one", F.min(order).over(here))
         pairs = chosen.where("c <> one.d").select(F.least("node", "one.v").alias("u"), F.greatest("node", "one.v").alias("v")).distinct()
-        links = links.unionByName(_verified(_allowed(pairs, sets), docs, reps))
+        links = links.unionByName(_verified(_allowed(pairs, sets), sets, docs, reps))
         met = chosen.where("node <> one.v").select("s", "node")
         before, turn = groups["rows"], turn + 1
     kept.drop()

@@ -88,3 +88,29 @@ def test_simhash_balls_come_first_and_files_go(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == want and seen[:2] == ["balls", "verified"]
     left = {f.split("-")[0] for f in set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) - before}
     assert not left & {"prefixes", "shared", "shingles"}
+
+
+def test_long_texts_that_share_a_shingle_only_are_never_held_against_each_other(spark, monkeypatch):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    shared = "five words that all share"
+    bases = [[rnd.choice(words) for _ in range(1500)] for _ in range(12)]
+    rows = list(enumerate(" ".join([shared, *b]) for b in bases))
+    for share in (0.005, 0.015):
+        for b in bases:
+            copy = list(b)
+            for k in rnd.sample(range(len(b)), int(len(b) * share)):
+                copy[k] = rnd.choice(words)
+            rows.append((len(rows), " ".join([shared, *copy])))
+    held = []
+    similar = near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda pairs, *a: held.append(pairs.count()) or similar(pairs, *a))
+    found = near_copies.near_copies(spark.createDataFrame(rows, SIMPLE)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute(rows)
+    # Twelve groups of three have 36 pairs; all 630 pairs share a shingle.
+    assert sum(held) <= 36
+    a, b = near_copies.shingles(rows[0][1]), near_copies.shingles(rows[1][1])
+    exact = len(set(a.tolist()) ^ set(b.tolist()))
+    assert (len(a) + len(b)) / 9 < near_copies._wide_differ(near_copies._wide(a), near_copies._wide(b)) <= exact
+    longer = near_copies.shingles(rows[0][1] + " " + rows[1][1])
+    assert near_copies._wide_differ(near_copies._wide(a), near_copies._wide(longer)) <= len(set(a.tolist()) ^ set(longer.tolist()))
