@@ -29,8 +29,10 @@ from .bpe import loaded, rows_of
 from .common import id_text, saved, small_batches
 
 CAPACITY = 2048
-#: Pieces in a group (average), islands for each group, individuals on an island, generations between migrations, epochs.
-GROUP, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 3000, 2, 4, 3, 2
+#: Pieces in a group (average), islands for each group, individuals on an island, epochs (a migration ends each).
+GROUP, ISLANDS, POPULATION, EPOCHS = 3000, 2, 4, 2
+#: Generations without a better packing after which an island's epoch ends; there may be any number before.
+GENERATIONS = 10
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,12 +128,18 @@ def crossover(a: list[list[int]], b: list[list[int]], lengths: list[int], capaci
     for x in kept[len(kept) - max(1, len(kept) // 50) :]:
         displaced += x
     kept = kept[: len(kept) - max(1, len(kept) // 50)]
-    displaced.sort(key=lambda i: -lengths[i])
+    # Orders that differ a little keep children of the same parents from being the same.
+    noise = rnd.choice((0.0, 0.02, 0.1))
+    displaced.sort(key=lambda i: -lengths[i] * rnd.uniform(1 - noise, 1))
     return best_fit(lengths, capacity, displaced, injected + kept)
 
 
 def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int, generations: int) -> list[list[list[int]]]:
-    """The island's population, best first, after some generations; starts from the elites that came in."""
+    """The island's population, best first; starts from the elites that came in.
+
+    It evolves until its best packing has as few bins as the lengths' sum allows,
+    or none of the last `generations` generations bettered it.
+    """
     rnd = random.Random(seed)
     bound = -(-sum(lengths) // capacity)
     people = [[list(b) for b in e] for e in elites]
@@ -143,14 +151,16 @@ def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[
     while len(people) < population:
         order = sorted(range(len(lengths)), key=lambda i: -lengths[i] * rnd.uniform(0.8, 1.0))
         people.append(best_fit(lengths, capacity, order))
-    for _ in range(generations):
+    best, idle = None, 0
+    while True:
         people.sort(key=lambda p: fitness(p, lengths, capacity), reverse=True)
-        if len(people[0]) <= bound:
+        now = fitness(people[0], lengths, capacity)
+        best, idle = (now, 0) if best is None or now > best else (best, idle + 1)
+        if len(people[0]) <= bound or idle >= generations:
             break
         a, b = rnd.sample(people[: max(2, population // 2)], 2)
         people[-1] = crossover(a, b, lengths, capacity, rnd)
         people[-2] = crossover(people[0], rnd.choice(people[1:]), lengths, capacity, rnd) if len(people) > 2 else people[-2]
-    people.sort(key=lambda p: fitness(p, lengths, capacity), reverse=True)
     return people
 
 
