@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import concat_ranges, partitions_for, release, saved, small_batches
+from .common import LET_GO, concat_ranges, partitions_for, release, saved, small_batches
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -368,16 +368,17 @@ def spans(blobs: DataFrame, judge) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(run, "doc_id long, tag int, span long")
 
 
-def with_spans(docs: DataFrame, found: DataFrame, cut, schema: str, rest: str | None = None) -> DataFrame:
-    """What cut(doc_id, text's bytes, merged spans) gives for every keyed document; texts are shuffled compressed.
+def with_spans(docs: DataFrame, blobs: DataFrame, judge, cut, schema: str, rest: str | None = None) -> DataFrame:
+    """What cut(doc_id, text's bytes, merged spans of the blobs) gives for every keyed document; texts are shuffled compressed.
 
     A document's spans are at most as many as its own windows, so its group is
     bounded by its length. Spans are checkpointed first: the runs' shuffle,
-    which is the largest, can go before the texts are shuffled. A column named
-    by `rest` travels along and is added to the result.
+    which is the largest, goes before the texts are shuffled. (Nobody may hold
+    the frame of spans that was computed, or Spark keeps its shuffle.) A column
+    named by `rest` travels along and is added to the result.
     """
-    found = saved(found)
-    release(docs.sparkSession)
+    found = saved(spans(blobs, judge))
+    release(docs.sparkSession, LET_GO)
     small_batches(docs.sparkSession)
     names = [f.strip().split(" ")[0] for f in _fields(schema)]
     more = [rest] if rest else []

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 #: Rows of one Arrow batch where a column holds whole texts; bounds a Python worker's memory.
 TEXT_BATCH_ROWS = 1000
+#: Seconds after which py4j has let go of a dropped frame.
+LET_GO = 1.5
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +62,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner see, and delete, shuffles that nothing needs any more (after a checkpoint)."""
+def release(spark: SparkSession, wait: float = 0) -> None:
+    """Lets Spark's cleaner see, and delete, shuffles that nothing needs any more (after a checkpoint).
+
+    An event that still waits for its listeners holds the plan that it tells of, and so the plan's shuffles;
+    and py4j lets go of frames in a thread of its own, once a second: a wait of LET_GO includes what was dropped just now.
+    """
     gc.collect()
+    time.sleep(wait)
+    with contextlib.suppress(Py4JJavaError):  # not empty in time
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -77,15 +89,8 @@ def partitions_for(df: DataFrame, mb: float) -> int:
     return max(least, int(size / (mb * 1e6)) + 1)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written as a Parquet table in the shared folder and read again: for whole rows, of which later steps read some columns only."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Rounds:
-    """Writes a table that is made anew in every round, and drops the one before.
+    """Writes a table of one step, or one that is made anew in every round, and drops the one before.
 
     A checkpoint carries the planner's estimate of its size on, and a cogroup's
     is the product of its sides': fed back round by round, it soon has millions

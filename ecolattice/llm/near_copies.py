@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import simhash
-from .common import Rounds, broadcast_if, id_text, release, saved, small_batches, stored, word_blocks
+from .common import Rounds, broadcast_if, id_text, release, saved, small_batches, word_blocks
 from .components import connected_components
 
 #: Words of a shingle; the least similarity is ALIKE[0] / ALIKE[1].
@@ -244,11 +244,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(spark)
     docs = id_text(docs, id_col, text_col).where("doc_id is not null")
     # Files, unlike checkpoints, are packed and read by column, and those of a round go with the next.
-    files, kept, here = Rounds(spark, "prefixes"), Rounds(spark, "shared"), Window.partitionBy("s")
+    files, kept, marks, here = Rounds(spark, "prefixes"), Rounds(spark, "shared"), Rounds(spark, "sets"), Window.partitionBy("s")
     whole = files(_prefixes(docs))
-    each = stored(whole.select("doc_id", "node"), "nodes")
+    each = saved(whole.select("doc_id", "node"))
     reps = each.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    sets = stored(whole.select("node", "n", *BITS, "fp", "wide", F.slice(F.sort_array("prefix"), 1, LEAST).alias("least")).dropDuplicates(["node"]), "sets")
+    sets = marks(whole.select("node", "n", *BITS, "fp", "wide", F.slice(F.sort_array("prefix"), 1, LEAST).alias("least")).dropDuplicates(["node"]))
     release(spark)
     shared = whole.select("node", "prefix").dropDuplicates(["node"]).select("node", F.explode("prefix").alias("s"))
     met = kept(shared.withColumn("low", F.min("node").over(here)).withColumn("high", F.max("node").over(here)).where("low < high").select("s", "node"))
@@ -287,6 +287,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         met = chosen.where("node <> one.v").select("s", "node")
         before, turn = groups["rows"], turn + 1
     kept.drop()
+    marks.drop()
     of = each.select("doc_id", "node").join(connected_components(links), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return of.join(least, "component").select("doc_id", "component_id")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, broadcast_if, saved, stored
+from .common import SPACE, Rounds, broadcast_if, saved
 
 RISK, DELTA, COST = 0.01, 0.05, 20
 #: Settings loosen the proposed cutoffs by so many steps of the grid.
@@ -117,11 +117,16 @@ def calibrate(counts: DataFrame, labels: DataFrame, label: str = "quality", risk
     return chosen.select("stratum", *[F.when(F.col(f"{r}_rank") <= -F.col("best.fewer"), looked_up(r, F.col("best.looser"))).alias(r) for r in GRID])
 
 
-def judged(counts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The counts with kept: false if the base or a rule of the stratum's setting fails."""
-    cutoffs = broadcast_if(saved(calibrate(counts, labels, risk=risk, delta=delta).withColumnRenamed("stratum", "_s")))
+def passing(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """The counts with kept: false if the base or a rule of the stratum's (checkpointed) cutoffs fails."""
+    known = broadcast_if(cutoffs.withColumnRenamed("stratum", "_s"))
     passes = reduce(Column.__and__, [F.coalesce(_statistic(rule) <= F.col(rule), F.lit(True)) for rule in GRID])
-    return counts.join(cutoffs, F.col("stratum") == F.col("_s"), "left").select(*counts.columns, (~F.col("base_failed") & passes).alias("kept"))
+    return counts.join(known, F.col("stratum") == F.col("_s"), "left").select(*counts.columns, (~F.col("base_failed") & passes).alias("kept"))
+
+
+def judged(counts: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The counts with kept, by the cutoffs that they and the labels calibrate."""
+    return passing(counts, saved(calibrate(counts, labels, risk=risk, delta=delta)))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -140,12 +145,17 @@ def keep_passing(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     """The rows of `docs` that the rules keep; all columns stay.
 
     Each row is judged by its own text, so rows with a null or repeated id go
-    or stay like any other. The rows are written once with their counts; the
-    calibration reads only the counts, and nothing but those is shuffled.
+    or stay like any other. The calibration reads a table of all counts, which
+    goes again; then each row is counted once more and filtered where it is,
+    so no copy of the rows is left behind, and only counts are shuffled.
     """
+    files = Rounds(docs.sparkSession, "counts")
+    cutoffs = saved(calibrate(files(base_counts(docs)), labels, risk=risk, delta=delta))
+    files.drop()
     row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("_row")
-    counts = stored(base_counts(docs, more=(row,)), "rules")
-    kept = judged(counts, labels, risk, delta).where("kept")
+    # A column that isn't deterministic keeps the filter from being moved below the counts, which would compute them twice.
+    counts = base_counts(docs, more=(row,)).withColumn("_n", F.monotonically_increasing_id())
+    kept = passing(counts, cutoffs).where("kept and _n >= 0")
     return kept.select(*[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 

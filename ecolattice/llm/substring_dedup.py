@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .anchors import _BASE, BYTE_CODES, covered, dealt, first_equal, keyed, mix, owners, repeated, shared_by_documents, spans, with_spans
+from .anchors import _BASE, BYTE_CODES, covered, dealt, first_equal, keyed, mix, owners, repeated, shared_by_documents, with_spans
 from .common import concat_ranges
 
 WINDOW, GRAM = 13, 3
@@ -188,5 +188,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     are ignored.
     """
     own = keyed(docs, id_col, text_col)
-    found = spans(dealt(own, WordSymbols(), window, gram), judge_words(window, gram))
-    return with_spans(own, found, _Cut(), "doc_id long, n_words long, kept string, spans array<struct<begin: long, end: long>>")
+    return with_spans(own, dealt(own, WordSymbols(), window, gram), judge_words(window, gram), _Cut(), "doc_id long, n_words long, kept string, spans array<struct<begin: long, end: long>>")

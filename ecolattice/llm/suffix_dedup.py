@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import BYTE_CODES, covered, dealt, first_equal, keyed, mix, owners, repeated, shared_by_documents, span_hashes, spans, with_spans
+from .anchors import BYTE_CODES, covered, dealt, first_equal, keyed, mix, owners, repeated, shared_by_documents, span_hashes, with_spans
 from .common import concat_ranges
 
 WINDOW, GRAM = 50, 8
@@ -351,8 +351,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_c
     ignored.
     """
     own = keyed(docs, id_col, text_col)
-    found = spans(dealt(own, ByteSymbols(), window, gram), judge_bytes(window, gram))
-    return with_spans(own, found, _Cut(), "doc_id long, n_bytes long, kept binary, spans array<struct<begin: long, end: long>>")
+    return with_spans(own, dealt(own, ByteSymbols(), window, gram), judge_bytes(window, gram), _Cut(), "doc_id long, n_bytes long, kept binary, spans array<struct<begin: long, end: long>>")
 
 
 class _CutText:
@@ -371,7 +370,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     others = [c for c in docs.columns if c != "text"]
     rest = F.struct(docs["text"].isNull().alias("_null"), *[docs[c].alias(f"c{k}") for k, c in enumerate(others)]).alias("_rest")
     own = keyed(docs, "doc_id", "text", rest)
-    found = spans(dealt(own, ByteSymbols(), window, gram), judge_bytes(window, gram))
-    cut = with_spans(own, found, _CutText(), "_text string", "_rest")
+    cut = with_spans(own, dealt(own, ByteSymbols(), window, gram), judge_bytes(window, gram), _CutText(), "_text string", "_rest")
     text = F.when(~F.col("_rest._null"), F.col("_text")).alias("text")
     return cut.select(*[text if c == "text" else F.col(f"_rest.c{others.index(c)}").alias(c) for c in docs.columns])
